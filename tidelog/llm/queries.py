@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import huffman, packing, token_counts
+from .store import Workspace
 from .tokens import public_path
 
 
@@ -14,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Workspace(spark, "op1").path("ids")
+    huffman.write_ids(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), out)
+    return huffman.read_ids(spark, out)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
@@ -23,7 +30,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op10_best_fit_packing]
+    found = [op1_huffman_ids, op4_token_counts, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, merkle, packing, token_counts
+from . import huffman, merkle, packing, simhash, token_counts
 from .store import Workspace
 from .tokens import public_path
 
@@ -25,6 +25,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_huffman_ids, op4_token_counts, op9_merkle_fingerprints, op10_best_fit_packing]
+    found = [op1_huffman_ids, op4_token_counts, op7_simhash_near_duplicates, op9_merkle_fingerprints, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

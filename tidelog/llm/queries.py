@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, merkle, packing, simhash, token_counts
+from . import chat, huffman, merkle, packing, shards, simhash, token_counts
 from .store import Workspace
 from .tokens import public_path
 
@@ -37,6 +37,10 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op8_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"), Workspace(spark, "op8").path("store"))
+
+
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_huffman_ids, op3_chat_formatting, op4_token_counts, op7_simhash_near_duplicates, op9_merkle_fingerprints, op10_best_fit_packing]
+    found = [op1_huffman_ids, op3_chat_formatting, op4_token_counts, op7_simhash_near_duplicates, op8_size_tiered_sharding, op9_merkle_fingerprints, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

@@ -98,16 +98,19 @@ def encode(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, codes: np.ndarr
     before = np.concatenate([[0], upto])[starts]  # bits ahead of each document without padding
     within = upto - length - np.repeat(before, sizes)
     at = within + np.repeat(offsets * 8, sizes)
-    words = np.zeros(int(size.sum()) // 4 + 3, np.float64)
-    shift = 64 - (at & 31) - length
-    value = codes[ids].astype(np.uint64) << shift.astype(np.uint64)
-    word = at >> 5
-    # codes do not overlap: adding them up in 32-bit words is exact in doubles
-    words += np.bincount(word, (value >> np.uint64(32)).astype(np.float64), len(words))
-    words += np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), len(words))
+    words = np.zeros(int(size.sum()) // 4 + 3, np.uint32)
+    if len(ids):
+        value = codes[ids].astype(np.uint64) << (64 - (at & 31) - length).astype(np.uint64)
+        word = at >> 5
+        # the codes that start in a 32-bit word follow each other; only the last may reach the next word
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        last = np.append(first[1:], len(word)) - 1
+        words[word[first]] = np.bitwise_or.reduceat((value >> np.uint64(32)).astype(np.uint32), first)
+        words[word[last] + 1] |= value[last].astype(np.uint32)
     payload = words.astype(">u4").tobytes()[: int(size.sum())]
-    k = np.arange(len(ids)) - np.repeat(starts, sizes)
-    marks = within[k % EVERY == 0].astype("<u4")
+    n_marks = -(-sizes // EVERY)
+    nth = np.arange(int(n_marks.sum())) - np.repeat(np.cumsum(n_marks) - n_marks, n_marks)
+    marks = within[np.repeat(starts, n_marks) + nth * EVERY].astype("<u4")
     return payload, offsets, marks
 
 
@@ -154,7 +157,9 @@ def _tokenized(path: str, end_id: int):
             data = [x + end for x in enc.encode(b.column("text").to_pylist())]
             ids = np.frombuffer(b"".join(data), np.uint32)
             counts += np.bincount(ids, minlength=len(counts))
-            yield batch(b.column("doc_id").to_pylist(), [len(x) // 4 for x in data], [np.frombuffer(x, np.uint32).astype(kind).tobytes() for x in data], [None] * len(data))
+            ends = np.cumsum([0, *(len(x) // 4 for x in data)])
+            small, at = ids.astype(kind).tobytes(), (ends * np.dtype(kind).itemsize).tolist()
+            yield batch(b.column("doc_id").to_pylist(), np.diff(ends), [small[a:z] for a, z in zip(at, at[1:])], [None] * len(data))
         if counts.any():
             yield batch([None], [0], [None], [counts.tobytes()])
 

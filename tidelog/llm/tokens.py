@@ -21,9 +21,11 @@ import numpy as np
 #: Printable ASCII, tab, newline, carriage return and Latin letters that both the
 #: library's and Python's regular expressions class as letters and lower-case alike.
 _OTHER = re.compile("[^\\x20-\\x7e\\t\\n\\r\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u0148\\u014a-\\u017e]")
-#: The pre-token patterns of the two kinds of file, for those characters.
-_BYTE_LEVEL = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+#: The pre-token patterns of the two kinds of file, for those characters
+#: only, so that classes are plain ranges and the commonest kind stands first.
+_LETTER = "A-Za-z\\u00c0-\\u017e"
+_BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_LETTER}0-9 \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_WORD_LEVEL = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{_LETTER}0-9 \t\n\r]+")
 
 #: Pre-tokens remembered by a worker for a tokenizer, at most.
 MEMO = 700_000

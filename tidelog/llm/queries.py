@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, merkle, packing, shards, simhash, token_counts
+from . import chat, huffman, langid, merkle, packing, shards, simhash, token_counts
 from .store import Workspace
 from .tokens import public_path
 
@@ -21,6 +21,10 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, out)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -50,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_huffman_ids, op3_chat_formatting, op4_token_counts, op7_simhash_near_duplicates, op8_size_tiered_sharding, op9_merkle_fingerprints, op10_best_fit_packing]
+    found = [op1_huffman_ids, op2_language_id, op3_chat_formatting, op4_token_counts, op7_simhash_near_duplicates, op8_size_tiered_sharding, op9_merkle_fingerprints, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

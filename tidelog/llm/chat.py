@@ -180,7 +180,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 loss = "".join(unescape(text[a:z]) for a, z in zip(spans[::2], spans[1::2]))
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-                for i, n in ((4, len(text)), (5, len(r["ids"])), (6, sum(r["loss_mask"]))):
+                for i, n in ((4, len(text)), (5, r["n_ids"]), (6, r["n_loss"])):
                     state[i] += n
                 if r["last"]:
                     made.append((r["conv_id"], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:]))
@@ -188,5 +188,8 @@ def digests(formatted: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    return ordered.mapInArrow(run, schema)
+    needed = formatted.select("conv_id", "segment", "last", "formatted", "loss_spans", F.size("ids").alias("n_ids"), F.size(F.filter("loss_mask", lambda x: x)).alias("n_loss"))
+    # only conversations of several segments have rows to bring together
+    alone = (F.col("segment") == 0) & F.col("last")
+    ordered = needed.where(~alone).repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return needed.where(alone).mapInArrow(run, schema).unionByName(ordered.mapInArrow(run, schema))

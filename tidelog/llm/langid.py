@@ -184,8 +184,8 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
     return Model([r["lang"] for r in found], centroids, limits, idf)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` (which has ``text``), then lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: Model, named: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """All columns of ``docs`` (which has ``text``), then prediction, score and rejection."""
     names = docs.columns
 
     def run(batches):
@@ -194,11 +194,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in rows(batches, 128, 2_000_000):
             found = model.predict(b.column("text").to_pylist())
             more = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], names=[*names, *named])
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-    out = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
+    out = StructType(list(docs.schema.fields)).add(named[0], StringType()).add(named[1], DoubleType()).add(named[2], BooleanType())
     return docs.mapInArrow(run, out)
 
 

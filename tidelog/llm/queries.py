@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hmm, huffman, langid, merkle, packing, shards, simhash, token_counts
+from . import chat, hmm, huffman, langid, merkle, packing, shards, simhash, tiling, token_counts
 from .store import Workspace
 from .tokens import public_path
 
@@ -41,6 +41,10 @@ def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
@@ -58,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_huffman_ids, op2_language_id, op3_chat_formatting, op4_token_counts, op5_hmm_scores, op7_simhash_near_duplicates, op8_size_tiered_sharding, op9_merkle_fingerprints, op10_best_fit_packing]
+    found = [op1_huffman_ids, op2_language_id, op3_chat_formatting, op4_token_counts, op5_hmm_scores, op6_benchmark_tiling, op7_simhash_near_duplicates, op8_size_tiered_sharding, op9_merkle_fingerprints, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

@@ -29,9 +29,10 @@ from itertools import combinations, repeat
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .components import connected
-from .store import Workspace, doc_texts, rows
+from .store import Workspace, doc_texts, free_name, rows
 
 SHINGLE, SEED, RADIUS, BLOCKS, SPLIT = 3, 42, 3, 5, 4096
 
@@ -225,15 +226,50 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return keyed.repartition("key").sortWithinPartitions("key", "side", "fp").mapInArrow(_linked(radius), "u long, v long")
 
 
+def _grouped(found: DataFrame, radius: int, ws: Workspace) -> DataFrame:
+    """From rows (doc_id, fp): one row for each fingerprint: fp, lowest (its smallest id), root."""
+    classes = ws.stage(found.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "classes")
+    groups = connected(links(classes.select("fp"), radius), ws)  # node, root: only nodes with an edge
+    named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    return ws.stage(named, "groups")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id."""
+    """doc_id, fingerprint (hex), component_id, fp."""
     ws = Workspace(docs.sparkSession, "simhash")
     found = ws.stage(fingerprints(docs, shingle), "fingerprints")
-    classes = ws.stage(found.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "classes")
-    edges = links(classes.select("fp"), radius)
-    groups = connected(edges, ws)  # node, root: only nodes with an edge
-    named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    named = _grouped(found, radius, ws)
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     member = ws.stage(named.join(lowest, "root").select("fp", "component_id"), "member")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.join(member, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "fp")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group, with the columns of ``docs``: one with the smallest id (of
+    groups without ids, and of rows that share id and fingerprint, any one).
+
+    Fingerprints are worked out again beside the texts, so texts move in one shuffle only,
+    by id and fingerprint, where no group meets."""
+    ws = Workspace(docs.sparkSession, "simhash")
+    found = ws.stage(fingerprints(docs, shingle), "fingerprints")
+    named = _grouped(found, radius, ws)
+    low = F.lit(-(2**63)).cast("long")
+    first = F.struct(F.coalesce(F.col("lowest").cast("long"), F.lit(2**63 - 1).cast("long")), "fp")
+    kept = named.groupBy("root").agg(F.min_by(F.struct(F.coalesce(F.col("lowest").cast("long"), low).alias("k"), F.col("fp").alias("f")), first).alias("r"))
+    key, fp = free_name("k", docs.columns), free_name("f", docs.columns)
+    chosen = kept.select(F.col("r.k").alias(key), F.col("r.f").alias(fp))
+    schema = StructType([*docs.schema.fields]).add(fp, LongType())
+    with_fp = docs.mapInArrow(_beside(docs.columns, shingle, fp), schema).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), low))
+    return with_fp.join(chosen, [key, fp]).dropDuplicates([key, fp]).select(*docs.columns)
+
+
+def _beside(columns: list[str], shingle: int, name: str):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in rows(batches):
+            found = [text_fingerprint(t, shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(found, pa.int64())], names=[*columns, name])
+
+    return run

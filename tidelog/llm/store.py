@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,14 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def rows(batches: Iterator, size: int = 512, chars: int = 8_000_000, text: str = "text") -> Iterator:
     """Record batches cut to a bounded number of rows and bytes of the text column."""
     import pyarrow.compute as pc
@@ -72,10 +80,6 @@ def rows(batches: Iterator, size: int = 512, chars: int = 8_000_000, text: str =
             at = end
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def remainder(column: str, n: int):
     """crc32 of the decimal text of an id (null: of the empty text) modulo n."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

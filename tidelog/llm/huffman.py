@@ -153,7 +153,7 @@ def _tokenized(path: str, end_id: int):
             arrays = [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(count, pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_ids", "ids", "counts"])
 
-        for b in rows(batches):
+        for b in rows(batches, 1024):
             data = [x + end for x in enc.encode(b.column("text").to_pylist())]
             ids = np.frombuffer(b"".join(data), np.uint32)
             counts += np.bincount(ids, minlength=len(counts))
@@ -246,7 +246,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, block_
     """Encodes every document and writes code book and blocks below ``out``."""
     spark = docs.sparkSession
     ws = Workspace(spark, "huffman")
-    staged = ws.stage(doc_texts(docs).mapInArrow(_tokenized(path, end_id), STAGED), "ids", "zstd")
+    staged = ws.stage(doc_texts(docs).mapInArrow(_tokenized(path, end_id), STAGED), "ids")
     counted = staged.where(F.col("counts").isNotNull()).select("counts").mapInArrow(_count_rows, "id long, n long")
     found = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
     size = max((r["id"] for r in found), default=0) + 1

@@ -44,6 +44,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._split, self._lower = self._splitter(spec)
+        if self._split:
+            self.library.model._resize_cache(0)  # words that come again are remembered here
         names = sorted(self.library.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         #: For cutting the ids of joined words: bytes of each token, or whether it ends a word.
         self._measure = np.zeros(self.vocab, np.int64)
@@ -88,10 +90,9 @@ class Encoder:
         return out
 
     def _learn(self, unseen: set[str]) -> None:
-        new = sorted(unseen)
         lead = "" if self._lower else " "
-        joined = [w for w in new if w[len(lead) :].isalpha() and w.startswith(lead)]
-        alone = sorted(unseen.difference(joined))
+        joined = [w for w in unseen if w[len(lead) :].isalpha() and w.startswith(lead)]
+        alone = list(unseen.difference(joined))
         self._known.update(zip(joined, self._words(joined)))
         self._known.update(zip(alone, self._whole(alone)))
 
@@ -110,7 +111,8 @@ class Encoder:
                 words.update(found)
         known = self._known
         unseen = words.difference(known)
-        self._again |= words - unseen
+        if len(known) * 2 > self.memo:
+            self._again |= words - unseen
         if len(known) + len(unseen) > self.memo:  # forget the words that came once
             kept = self._again if len(self._again) + len(unseen) < self.memo * 3 // 4 else set()
             self._known = known = {w: known[w] for w in kept}

@@ -215,5 +215,12 @@ select store, generation, first_seq, last_seq, entries, bytes from fold where ge
 }
 
 
+SQL["block_contiguity"] = f"""select generation, block, block_offset, expected from (select *, cast(lag(block_offset + block_size, 1, 0) over (partition by generation order by block) as bigint) as expected
+from ({SQL["block_index"]}) where block <> 1) where block_offset <> expected"""
+SIZE = lambda n: f"printf('%02x%02x%02x00', {n} % 256, {n} // 256 % 256, {n} // 65536)"
+SQL["wal_encode"] = WITH(LOG) + f"""select pos, 20 + k + v as bytes, '57414c310100' || case when op = 'PUT' then '01' else '02' end || '00' || {SIZE("k")} || {SIZE("v")} as header
+from (select pos, op, cast(strlen(key) as bigint) as k, cast(strlen(value) as bigint) as v from log)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import remainder, rows
+from .tokens import release
 
 BIGRAMS, TRIGRAMS, CLUSTERS, SAMPLE, SLACK, ITERATIONS = 2048, 6144, 4, 500, 4.0, 12
 DIMS = BIGRAMS + TRIGRAMS
@@ -109,6 +110,7 @@ def clustered(x: np.ndarray, k: int = CLUSTERS) -> tuple[np.ndarray, float]:
 def _frequencies(batches):
     import pyarrow as pa
 
+    release()
     total, n = np.zeros(DIMS, np.int64), 0
     for b in rows(batches, 128, 2_000_000):
         tf = counts(b.column("text").to_pylist())
@@ -191,6 +193,7 @@ def predict(docs: DataFrame, model: Model, named: tuple[str, str, str] = ("lang_
     def run(batches):
         import pyarrow as pa
 
+        release()
         for b in rows(batches, 128, 2_000_000):
             found = model.predict(b.column("text").to_pylist())
             more = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]

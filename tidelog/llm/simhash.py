@@ -33,6 +33,7 @@ from pyspark.sql.types import LongType, StructType
 
 from .components import connected
 from .store import Workspace, doc_texts, free_name, rows
+from .tokens import release
 
 SHINGLE, SEED, RADIUS, BLOCKS, SPLIT = 3, 42, 3, 5, 4096
 
@@ -60,6 +61,7 @@ def _fingerprints(shingle: int):
     def run(batches):
         import pyarrow as pa
 
+        release()
         for b in rows(batches):
             found = [text_fingerprint(t, shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
@@ -268,6 +270,7 @@ def _beside(columns: list[str], shingle: int, name: str):
     def run(batches):
         import pyarrow as pa
 
+        release()
         for b in rows(batches):
             found = [text_fingerprint(t, shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(found, pa.int64())], names=[*columns, name])

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Workspace, free_name, rows
+from .tokens import release
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.8, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +45,7 @@ def words_of(text: str | None) -> list[str]:
 class Vocabulary:
     """64-bit codes of words; remembers a bounded number."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.codes: dict[str, int] = {}
         self.most = most
 
@@ -190,6 +191,7 @@ def _scan(items: Items, keep: list[str], flag: str = ""):
     def run(batches):
         import pyarrow as pa
 
+        release()
         vocabulary = Vocabulary()
         for b in rows(batches):
             found = [items.matches(vocabulary.encode(words_of(t))) for t in b.column("text").to_pylist()]

@@ -28,7 +28,7 @@ _BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_
 _WORD_LEVEL = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{_LETTER}0-9 \t\n\r]+")
 
 #: Pre-tokens remembered by a worker for a tokenizer, at most.
-MEMO = 700_000
+MEMO = 400_000
 
 
 class Encoder:
@@ -138,6 +138,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Gives back what encoders remember in this worker; other operators' tasks begin with it."""
+    _ENCODERS.clear()
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

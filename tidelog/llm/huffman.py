@@ -13,8 +13,8 @@ Within a part (one writing task, a doc_id range) blocks are numbered; parts asce
 Defined results: null or empty text is the end id alone; documents with a null id come
 first; repeated ids keep one entry each; an empty table gives no blocks and no rows.
 
-Scale: one tokenizing pass stages compressed ids and per-task counts; coding is a map;
-only coded bytes are shuffled, once, by doc_id range. Range bounds come from quantiles
+Scale: one tokenizing pass stages compressed ids and per-task counts; ids are shuffled
+once, by doc_id range, in as few bytes as the vocabulary needs, and coded where they arrive. Range bounds come from quantiles
 of the id column; starts come from totals per part and a window within each part.
 """
 
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace, doc_texts, rows
+from .store import Workspace, doc_texts, range_number, rows
 
 MAX_BITS, EVERY, BLOCK_IDS, END_ID = 18, 128, 1 << 20, 0
 BLOCKS = "part int, block long, before long, n_docs long, n_ids long, doc_ids array<long>, doc_sizes array<long>, byte_offsets array<long>, checkpoints binary, payload binary"
@@ -71,36 +71,32 @@ def canonical(bits: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbol and length for every prefix of as many bits as the longest code has."""
+def decoding_table(bits: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbol and length (symbol << 5 | length) for every prefix of as many bits as the longest code has."""
     width = int(bits.max(initial=1))
-    symbols, lengths = np.zeros(1 << width, np.int32), np.ones(1 << width, np.int32)
+    table = np.ones(1 << width, np.int64)
     order = np.lexsort((np.arange(len(bits)), bits))
     order = order[bits[order] > 0]
     spans = 1 << (width - bits[order])
     filled = int(spans.sum())
-    symbols[:filled], lengths[:filled] = np.repeat(order, spans), np.repeat(bits[order], spans)
-    return symbols, lengths, width
+    table[:filled] = np.repeat(order << 5 | bits[order], spans)
+    return table, width
 
 
 def encode(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, codes: np.ndarray):
     """Codes documents, each from a byte on: payload, byte offset of each, bit offset of
     every EVERY-th id from its document's start."""
-    length = bits[ids]
+    both = ((codes << 5) | bits)[ids]  # one look-up for code and length
+    length = both & 31
     upto = np.cumsum(length)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    total = np.zeros(len(sizes), np.int64)
-    full = sizes > 0
-    total[full] = np.add.reduceat(length, starts[full]) if full.any() else 0
-    size = (total + 7) // 8
+    starts = np.cumsum(sizes) - sizes
+    before = np.concatenate([[0], upto])[np.append(starts, len(ids))]  # bits ahead of each document without padding
+    size = (np.diff(before) + 7) // 8
     offsets = np.cumsum(size) - size
-    before = np.concatenate([[0], upto])[starts]  # bits ahead of each document without padding
-    within = upto - length - np.repeat(before, sizes)
-    at = within + np.repeat(offsets * 8, sizes)
+    at = upto - length + np.repeat(offsets * 8 - before[:-1], sizes)
     words = np.zeros(int(size.sum()) // 4 + 3, np.uint32)
     if len(ids):
-        value = codes[ids].astype(np.uint64) << (64 - (at & 31) - length).astype(np.uint64)
+        value = (both >> 5).view(np.uint64) << (64 - (at & 31) - length).view(np.uint64)
         word = at >> 5
         # the codes that start in a 32-bit word follow each other; only the last may reach the next word
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -110,13 +106,13 @@ def encode(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, codes: np.ndarr
     payload = words.astype(">u4").tobytes()[: int(size.sum())]
     n_marks = -(-sizes // EVERY)
     nth = np.arange(int(n_marks.sum())) - np.repeat(np.cumsum(n_marks) - n_marks, n_marks)
-    marks = within[np.repeat(starts, n_marks) + nth * EVERY].astype("<u4")
+    marks = (at[np.repeat(starts, n_marks) + nth * EVERY] - np.repeat(offsets * 8, n_marks)).astype("<u4")
     return payload, offsets, marks
 
 
 def decode(payload: bytes, byte_offsets: np.ndarray, sizes: np.ndarray, marks: np.ndarray, table) -> np.ndarray:
     """All ids of a block: the stretches between checkpoints are decoded side by side."""
-    symbols, lengths, width = table
+    entries, width = table
     raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     n_marks = -(-sizes // EVERY)
@@ -132,8 +128,9 @@ def decode(payload: bytes, byte_offsets: np.ndarray, sizes: np.ndarray, marks: n
     for step, n in enumerate(active.tolist()):
         p = position[:n]
         prefix = (window[p >> 3] << (p & 7).astype(np.uint32)) >> right
-        out[target[:n] + step] = symbols[prefix]
-        p += lengths[prefix]
+        found = entries[prefix]
+        out[target[:n] + step] = found >> 5
+        p += found & 31
     return out
 
 
@@ -179,63 +176,34 @@ def _count_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
 
-def _coded(bits: np.ndarray, codes: np.ndarray, ids_kind: str, bounds: list[int]):
-    def run(batches):
-        import pyarrow as pa
-
-        for big in batches:
-            for b in rows([big], 2048, 4_000_000, "ids"):
-                sizes = b.column("n_ids").to_numpy()
-                ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), ids_kind)
-                payload, offsets, marks = encode(ids, sizes, bits, codes)
-                ends = [*offsets[1:].tolist(), len(payload)]
-                n_marks = -(-sizes // EVERY)
-                to = np.cumsum(n_marks)
-                docs = b.column("doc_id")
-                part = np.searchsorted(np.array(bounds, np.int64), docs.fill_null(-(2**63)).to_numpy(zero_copy_only=False)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        docs,
-                        b.column("n_ids"),
-                        pa.array(part),
-                        pa.array([payload[a:z] for a, z in zip(offsets.tolist(), ends)], pa.binary()),
-                        pa.array([marks[a:z].tobytes() for a, z in zip((to - n_marks).tolist(), to.tolist())], pa.binary()),
-                    ],
-                    names=["doc_id", "n_ids", "part", "payload", "checkpoints"],
-                )
-
-    return run
-
-
-def _assembled(block_ids: int):
+def _assembled(bits: np.ndarray, codes: np.ndarray, ids_kind: str, block_ids: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        docs, sizes, payload, marks = [], [], [], []
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
+        kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
+        docs, held, n_held = [], [], 0
 
         def block():
             nonlocal number, before
-            at = np.cumsum([0, *map(len, payload)])[:-1].tolist()
-            row = [part, number, before, len(docs), sum(sizes), list(docs), list(sizes), at, b"".join(marks), b"".join(payload)]
-            kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
-            number, before = number + 1, before + sum(sizes)
-            for x in (docs, sizes, payload, marks):
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
-
-        held = 0
+            sizes = np.array([len(x) for x in held], np.int64) // np.dtype(ids_kind).itemsize
+            payload, offsets, marks = encode(np.frombuffer(b"".join(held), ids_kind), sizes, bits, codes)
+            row = [part, number, before, len(docs), int(sizes.sum()), docs.copy(), sizes, offsets, marks.tobytes(), payload]
+            number, before = number + 1, before + int(sizes.sum())
+            docs.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
         for b in batches:
-            for d, n, p, m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "payload", "checkpoints"))):
-                if docs and held + n > block_ids:
+            for d, n, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "ids"))):
+                if docs and n_held + n > block_ids:
                     yield block()
-                    held = 0
+                    n_held = 0
                 docs.append(d)
-                sizes.append(n)
-                payload.append(p)
-                marks.append(m)
-                held += n
+                held.append(x)
+                n_held += n
         if docs:
             yield block()
 
@@ -265,12 +233,13 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, block_
     from .tokens import encoder
 
     kind = "<u2" if encoder(path).vocab <= 1 << 16 else "<u4"
-    coder = _coded(bits, codes, kind, bounds)
-    coded = staged.where(F.col("ids").isNotNull()).select("doc_id", "n_ids", "ids").mapInArrow(coder, "doc_id long, n_ids long, part int, payload binary, checkpoints binary")
+    part = range_number(F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")), bounds)
     (
-        coded.repartitionById(len(bounds) + 1, F.col("part"))
-        .sortWithinPartitions("doc_id", "n_ids", "payload")
-        .mapInArrow(_assembled(block_ids), BLOCKS)
+        staged.where(F.col("ids").isNotNull())
+        .select("doc_id", "n_ids", "ids")
+        .repartitionById(len(bounds) + 1, part.cast("int"))
+        .sortWithinPartitions("doc_id", "n_ids", "ids")
+        .mapInArrow(_assembled(bits, codes, kind, block_ids), BLOCKS)
         .write.mode("overwrite")
         .option("compression", "none")
         .parquet(f"{out}/blocks")

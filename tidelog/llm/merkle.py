@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import doc_texts
+from .store import doc_texts, range_number
 
 PARAGRAPH, SECTION = 200, 8
 #: Rows aimed at in an id range, and the most ranges.
@@ -108,10 +108,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     # actual ids: each is the highest of its range, as is the highest of all
     found = docs.select(key.alias("key")).agg(F.percentile_approx("key", cuts, 100_000).alias("b"), F.max("key").alias("top")).first()
     bounds = sorted({*(found["b"] or [])[: ranges - 1], *([found["top"]] if n else [])})
-    bounded = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
-    at = F.col("key")
     tops = docs.sparkSession.createDataFrame([(b, i) for i, b in enumerate(bounds)], "key long, nth int")
-    ranged = texts.withColumn("key", key).withColumn("range", F.size(F.filter(bounded, lambda b: b < at))) if len(bounds) <= 64 else _ranged(texts.withColumn("key", key), bounds)
+    ranged = texts.withColumn("key", key).withColumn("range", range_number(F.col("key"), bounds))
     # the top row of a range is also the row after the last one of the range above it; the highest follows the lowest
     ghost = F.when(F.col("nth").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     dealt = (
@@ -124,18 +122,6 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.withColumn("next", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next")
 
 
-def _ranged(df: DataFrame, bounds: list[int]) -> DataFrame:
-    """Range number by a tree of comparisons, in steps of 64 ways."""
-    step = 64
-    coarse = bounds[step - 1 :: step]
-    c = F.array(*[F.lit(b).cast("long") for b in coarse])
-    table = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
-    at = F.col("key")
-    df = df.withColumn("coarse", F.size(F.filter(c, lambda b: b < at)))
-    fine = F.coalesce(F.get(table, F.col("coarse")), F.expr("cast(array() as array<bigint>)"))
-    return df.withColumn("range", F.col("coarse") * step + F.size(F.filter(fine, lambda b: b < at))).drop("coarse")
-
-
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text (second half from the next)."""
     n = F.char_length("text")

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -80,6 +80,17 @@ def rows(batches: Iterator, size: int = 512, chars: int = 8_000_000, text: str =
             at = end
 
 
+def range_number(column: Column, bounds: list[int]) -> Column:
+    """How many of some sorted bounds lie below an id: 64 at a time, then within those 64."""
+    numbers = lambda x: F.array(*[F.lit(b).cast("long") for b in x]) if x else F.expr("cast(array() as array<bigint>)")
+    below = lambda x: F.size(F.filter(x, lambda b: b < column))
+    if len(bounds) <= 64:
+        return below(numbers(bounds))
+    table = F.array(*[numbers(bounds[i : i + 64]) for i in range(0, len(bounds), 64)])
+    coarse = below(numbers(bounds[63::64]))
+    return coarse * 64 + below(F.coalesce(F.get(table, coarse), numbers([])))
+
+
 def remainder(column: str, n: int):
     """crc32 of the decimal text of an id (null: of the empty text) modulo n."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -175,8 +175,12 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
     for r in df:
         n[r["dim"]] = r["n"]
     idf = np.log((1 + n[-1]) / (1 + n[:-1])).astype(np.float32) + np.float32(1)
+    # about four times the sample by hash first, so that ranking reads no more, however many documents there are
+    share = usable.groupBy("lang").agg((F.lit(4.0 * sample) / F.count(F.lit(1))).alias("share"))
+    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(share, "lang")
+    thinned = hashed.where((F.col("share") >= 0.5) | (F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    ids = thinned.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
     chosen = F.broadcast(ids.select("doc_id", "lang").distinct())  # at most `sample` ids for each language
     vectors = usable.join(chosen, ["doc_id", "lang"]).select("text", "lang").mapInArrow(_vectors, "lang string, dims binary, tf binary")
     found = vectors.groupBy("lang").applyInPandas(_cluster_of(idf), "lang string, nth int, least double, centroid binary").collect()

@@ -55,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = ws.stage(stage(spark, docs, sf_dir), name)
-        if k > 1:
+        if k:
             ws.drop(STAGES[k - 1][0])
     return docs

@@ -67,3 +67,10 @@ def test_terms_gaps_batches_and_install(spark):
 def test_read_barrier(spark):
     n = spark.createDataFrame([(1, True, 2, 2), (1, True, 2, 2), (1, False, 2, 2), (2, True, 1, 2), (2, True, 1, 2), (3, True, 2, 2), (3, False, 2, 2), (3, False, 2, 2)], "cell long, reachable boolean, committed_term long, current_term long")
     assert rows(r.read_barrier(n)) == [(1, True), (2, False), (3, False)]
+
+
+def test_lag_and_addresses(spark):
+    n = spark.createDataFrame([("a", 9, 7), ("b", 3, 3)], "node string, last_log_index long, commit_index long")
+    assert rows(r.replication_lag(n)) == [("a", 2), ("b", 0)]
+    peers = spark.createDataFrame([("a", "host:1")], "node string, address string")
+    assert rows(r.addressed(n.select("node"), peers)) == [("a", "host:1"), ("b", None)]

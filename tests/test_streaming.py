@@ -23,3 +23,7 @@ def test_keyed_state(spark, tmp_path):
     q.awaitTermination()
     log = events_log(spark, SF).selectExpr("key", "value", "pos as seq", "op = 'DELETE' as deleted")
     assert rows(state.live(spark.table("keyed"))) == rows(state.live(log))
+
+
+def test_durability_modes():
+    assert streaming.trigger_for("NONE") == {"availableNow": True} and streaming.trigger_for("BATCH", 250) == {"processingTime": "250 milliseconds"}

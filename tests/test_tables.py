@@ -118,3 +118,22 @@ def test_rotation_replaces_sizes(spark):
     e = spark.createDataFrame([("a", "x" * 10, 1, False), ("a", "y" * 20, 2, False), ("b", "z" * 50, 3, False), ("c", "", 4, True)], "key string, value string, seq long, deleted boolean")
     found = rows(tables.rotate_by_bytes(e, 70, F.lit(0), overhead=0))
     assert found == [(0, 0, 1, 3, 2, 72), (0, 1, 4, 4, 1, 1)]
+
+
+def test_files_without_a_manifest_are_adopted(spark, tmp_path):
+    t = flushed(spark, (0, "a", "1", 1), (0, "b", "1", 2), (0, "c", "1", 3))
+    t.coalesce(1).write.parquet(f"{tmp_path}/t")
+    t.where("key = 'c'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    found = tables.catalogue_of_files(stored)
+    assert rows(found.select("level", "generation", "entry_count", "smallest_key", "largest_key")) in ([("L0", 1, 1, "c", "c"), ("L0", 2, 3, "a", "c")], [("L0", 1, 3, "a", "c"), ("L0", 2, 1, "c", "c")])
+    assert rows(tables.short_files(found, stored)) == []
+    more = found.withColumn("entry_count", F.col("entry_count") + F.when(F.col("smallest_key") == "c", 1).otherwise(0))
+    assert rows(tables.short_files(more, stored).select("entry_count", "found")) == [(2, 1)]
+
+
+def test_point_reads_push_the_key_down(spark, tmp_path):
+    t = flushed(spark, *[(0, f"key-{i:05d}", "v", i + 1) for i in range(1000)])
+    bloom.write_sorted(t, f"{tmp_path}/t", 3)
+    plan = spark.read.parquet(f"{tmp_path}/t").where("key = 'key-00042'").select("value")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key,key-00042)" in plan and "ReadSchema: struct<key:string,value:string>" in plan

@@ -107,3 +107,8 @@ def checksum(key: str = "key", value: str = "value") -> Column:
     """CRC-32 of operation, lengths, key and value bytes."""
     head = F.concat_ws("|", "op", F.octet_length(key).cast("string"), F.octet_length(value).cast("string"))
     return F.crc32(F.concat(head.cast("binary"), F.col(key).cast("binary"), F.col(value).cast("binary")))
+
+
+def unflushed(log: DataFrame, flushed: int) -> DataFrame:
+    """The log that must be kept: what tables do not hold yet."""
+    return log.where(F.col("pos") > flushed)

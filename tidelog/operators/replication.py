@@ -142,3 +142,8 @@ def after_install(log: DataFrame, index: int, term: int) -> DataFrame:
 def duplicate_keys(snap: DataFrame) -> DataFrame:
     """Keys that a snapshot holds more than once (it is refused then)."""
     return snap.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def addressed(rows: DataFrame, peers: DataFrame) -> DataFrame:
+    """Rows with the address of their node (peers: node, address); null for unknown nodes."""
+    return rows.join(peers, "node", "left")

@@ -306,3 +306,20 @@ def metadata_mismatches(manifest: DataFrame, found: DataFrame) -> DataFrame:
     for c in columns:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}"))
     return pair.where(~same).select("path")
+
+
+def catalogue_of_files(stored: DataFrame, level: str = "L0") -> DataFrame:
+    """Manifest rows for files that none names yet: each file of a stored table becomes one
+    of the level, numbered in order of its highest sequence number."""
+    summed = stored.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("path")).agg(
+        F.count(F.lit(1)).alias("entry_count"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.min("key").alias("smallest_key"), F.max("key").alias("largest_key")
+    )
+    nth = F.row_number().over(Window.orderBy("max_seq", "path")).cast("long")  # one row for each file
+    return summed.select("path", F.lit(level).alias("level"), nth.alias("generation"), "entry_count", "min_seq", "max_seq", "smallest_key", "largest_key")
+
+
+def short_files(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """path, entry_count, found of tables whose rows are not as many as the manifest says."""
+    rows = stored.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("path")).agg(F.count(F.lit(1)).alias("found"))
+    found = F.coalesce("found", F.lit(0))
+    return manifest.join(rows, "path", "left").where(F.col("entry_count") != found).select("path", "entry_count", found.alias("found"))

@@ -11,6 +11,12 @@ from ..operators.state import latest
 from ..sources.logs import MUTATIONS
 
 
+def trigger_for(mode: str, interval_ms: int = 100) -> dict:
+    """Trigger of a durability mode: SYNC commits each batch as it comes, BATCH at an interval,
+    NONE drains what is there and stops."""
+    return {"SYNC": {"processingTime": "0 seconds"}, "BATCH": {"processingTime": f"{interval_ms} milliseconds"}, "NONE": {"availableNow": True}}[mode]
+
+
 def read_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A stored log as an unbounded source."""
     reader = spark.readStream.schema(MUTATIONS)

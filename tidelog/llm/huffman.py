@@ -13,8 +13,8 @@ Within a part (one writing task, a doc_id range) blocks are numbered; parts asce
 Defined results: null or empty text is the end id alone; documents with a null id come
 first; repeated ids keep one entry each; an empty table gives no blocks and no rows.
 
-Scale: one tokenizing pass stages compressed ids and per-task counts; ids are shuffled
-once, by doc_id range, in as few bytes as the vocabulary needs, and coded where they arrive. Range bounds come from quantiles
+Scale: one tokenizing pass stages compressed ids and per-task counts; coding is a map;
+only coded bytes are shuffled, once, by doc_id range. Range bounds come from quantiles
 of the id column; starts come from totals per part and a window within each part.
 """
 
@@ -176,7 +176,26 @@ def _count_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
 
-def _assembled(bits: np.ndarray, codes: np.ndarray, ids_kind: str, block_ids: int):
+def _coded(bits: np.ndarray, codes: np.ndarray, ids_kind: str):
+    """Codes each document by itself; blocks are put together from whole bytes later."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for big in batches:
+            for b in rows([big], 2048, 4_000_000, "ids"):
+                sizes = b.column("n_ids").to_numpy()
+                payload, offsets, marks = encode(np.frombuffer(b"".join(b.column("ids").to_pylist()), ids_kind), sizes, bits, codes)
+                at = [*offsets.tolist(), len(payload)]
+                to = np.cumsum([0, *(-(-sizes // EVERY) * 4)]).tolist()
+                marks = marks.tobytes()
+                cut = lambda data, x: pa.array([data[a:z] for a, z in zip(x, x[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_ids"), cut(payload, at), cut(marks, to)], names=["doc_id", "n_ids", "payload", "checkpoints"])
+
+    return run
+
+
+def _assembled(block_ids: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -184,26 +203,28 @@ def _assembled(bits: np.ndarray, codes: np.ndarray, ids_kind: str, block_ids: in
         part, number, before = TaskContext.get().partitionId(), 0, 0
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
-        docs, held, n_held = [], [], 0
+        docs, sizes, payload, marks = [], [], [], []
 
         def block():
             nonlocal number, before
-            sizes = np.array([len(x) for x in held], np.int64) // np.dtype(ids_kind).itemsize
-            payload, offsets, marks = encode(np.frombuffer(b"".join(held), ids_kind), sizes, bits, codes)
-            row = [part, number, before, len(docs), int(sizes.sum()), docs.copy(), sizes, offsets, marks.tobytes(), payload]
-            number, before = number + 1, before + int(sizes.sum())
-            docs.clear()
-            held.clear()
+            at = np.cumsum([0, *map(len, payload)])[:-1]
+            row = [part, number, before, len(docs), sum(sizes), docs.copy(), sizes.copy(), at, b"".join(marks), b"".join(payload)]
+            number, before = number + 1, before + sum(sizes)
+            for x in (docs, sizes, payload, marks):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
+        held = 0
         for b in batches:
-            for d, n, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "ids"))):
-                if docs and n_held + n > block_ids:
+            for d, n, p, m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "payload", "checkpoints"))):
+                if docs and held + n > block_ids:
                     yield block()
-                    n_held = 0
+                    held = 0
                 docs.append(d)
-                held.append(x)
-                n_held += n
+                sizes.append(n)
+                payload.append(p)
+                marks.append(m)
+                held += n
         if docs:
             yield block()
 
@@ -234,12 +255,12 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, block_
 
     kind = "<u2" if encoder(path).vocab <= 1 << 16 else "<u4"
     part = range_number(F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")), bounds)
+    ids = staged.where(F.col("ids").isNotNull()).select("doc_id", "n_ids", "ids")
     (
-        staged.where(F.col("ids").isNotNull())
-        .select("doc_id", "n_ids", "ids")
+        ids.mapInArrow(_coded(bits, codes, kind), "doc_id long, n_ids long, payload binary, checkpoints binary")
         .repartitionById(len(bounds) + 1, part.cast("int"))
-        .sortWithinPartitions("doc_id", "n_ids", "ids")
-        .mapInArrow(_assembled(bits, codes, kind, block_ids), BLOCKS)
+        .sortWithinPartitions("doc_id", "n_ids", "payload")
+        .mapInArrow(_assembled(block_ids), BLOCKS)
         .write.mode("overwrite")
         .option("compression", "none")
         .parquet(f"{out}/blocks")

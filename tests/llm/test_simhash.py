@@ -111,6 +111,13 @@ def test_bit_slices_equal_distances(seed, n, radius):
         assert components(n, edges) == components(n, links)
 
 
+def test_long_texts_in_chunks(monkeypatch):
+    text = " ".join(f"w{i % 37}" for i in range(500))
+    for chunk in (1, 7, 498, 499, 1 << 17):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert simhash.text_fingerprint(text) % 2**64 == fingerprint(text)
+
+
 def test_large_buckets_are_split(spark):
     """Chunks of a few fingerprints give the same components as whole buckets."""
     rng = np.random.default_rng(5)

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .components import connected
+from .components import ROUNDS, connected
 from .store import Workspace, doc_texts, free_name, rows
 from .tokens import release
 
 SHINGLE, SEED, RADIUS, BLOCKS, SPLIT = 3, 42, 3, 5, 4096
+#: Shingles of a text hashed together.
+CHUNK = 1 << 17
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -45,16 +47,14 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only; ASCII white space
     if not words:
         return 0
-    if len(words) < shingle:
-        joined = [b" ".join(words)]
-    else:
-        joined = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(joined))
+    n = max(1, len(words) - shingle + 1)
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 18):  # bounded memory for very long texts
-        part = h[at : at + (1 << 18)].astype(">u8").view(np.uint8)
-        ones += np.unpackbits(part.reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+    for at in range(0, n, CHUNK):  # bounded memory for very long texts
+        part = words[at : at + CHUNK + shingle - 1]
+        joined = [b" ".join(part)] if len(words) < shingle else list(map(b" ".join, zip(*(part[i:] for i in range(shingle)))))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(joined))
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
 def _fingerprints(shingle: int):
@@ -233,7 +233,9 @@ def _grouped(found: DataFrame, radius: int, ws: Workspace) -> DataFrame:
     classes = ws.stage(found.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "classes")
     groups = connected(links(classes.select("fp"), radius), ws)  # node, root: only nodes with an edge
     named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
-    return ws.stage(named, "groups")
+    groups = ws.stage(named, "groups")
+    ws.drop("classes", *(f"star-{k}" for k in range(ROUNDS)))
+    return groups
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -243,6 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     named = _grouped(found, radius, ws)
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     member = ws.stage(named.join(lowest, "root").select("fp", "component_id"), "member")
+    ws.drop("groups")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.join(member, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "fp")
 

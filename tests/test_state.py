@@ -4,6 +4,8 @@ from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidelog.functions import rules
 from tidelog.operators import log, state
 from tidelog.plans import inputs
@@ -139,3 +141,10 @@ def test_synthetic_workload(spark):
 
 def test_base_relations(spark):
     assert inputs.entries(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_hot_key_may_be_dealt_over_buckets(spark):
+    m = logs.events_log(spark, "/root/testdata/sf0.001")
+    m = m.withColumn("key", F.when(F.col("pos") % 3 > 0, "hot").otherwise(F.col("key")))
+    for width in (1, 7, 64, 1 << 20):
+        assert rows(log.effective(m, width)) == rows(log.effective(m))

@@ -19,23 +19,46 @@ def position_bucket(pos: str | Column, width: int = WIDTH) -> Column:
     return F.floor((F.col(pos) if isinstance(pos, str) else pos) / F.lit(width)).cast("long")
 
 
-def running_total(df: DataFrame, value: str | Column, order: list, bucket: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to and including each, in the given order."""
-    value = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
-    sums = rows.groupBy("__bucket").agg(F.sum("__value").alias("__sum"))
+def running_totals(df: DataFrame, values: dict[str, str | Column], order: list, bucket: Column) -> DataFrame:
+    """Adds, for each name, the sum of its value over all rows up to and including each, in the
+    given order. One shuffle by bucket, whatever the number of sums."""
+    rows = df.withColumn("__bucket", bucket).withColumns({f"__{n}": F.col(v) if isinstance(v, str) else v for n, v in values.items()})
+    sums = rows.groupBy("__bucket").agg(*(F.sum(f"__{n}").alias(f"__sum_{n}") for n in values))
     # one row for each bucket: small against the rows, though not bounded
-    before = sums.select("__bucket", (F.sum("__sum").over(Window.orderBy("__bucket")) - F.col("__sum")).alias("__before"))
+    w = Window.orderBy("__bucket")
+    before = sums.select("__bucket", *((F.sum(f"__sum_{n}").over(w) - F.col(f"__sum_{n}")).alias(f"__before_{n}") for n in values))
     inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.withColumn("__inside", F.sum("__value").over(inside))
+        rows.withColumns({f"__inside_{n}": F.sum(f"__{n}").over(inside) for n in values})
         .join(before, "__bucket")
-        .withColumn(name, F.col("__inside") + F.col("__before"))
-        .drop("__bucket", "__value", "__inside", "__before")
+        .withColumns({n: F.col(f"__inside_{n}") + F.col(f"__before_{n}") for n in values})
+        .drop("__bucket", *(f"__{k}{n}" for n in values for k in ("", "inside_", "before_")))
     )
 
 
+def running_total(df: DataFrame, value: str | Column, order: list, bucket: Column, name: str) -> DataFrame:
+    """Adds one running sum."""
+    return running_totals(df, {name: value}, order, bucket)
+
+
 def dense_rank_of_rows(df: DataFrame, order: list, bucket: Column, name: str, start: int = 1) -> DataFrame:
     """Adds the number of each row in the order, from ``start``."""
     ranked = running_total(df, F.lit(1).cast("long"), order, bucket, name)
     return ranked if start == 1 else ranked.withColumn(name, F.col(name) + F.lit(start - 1))
+
+
+def previous_in_key(df: DataFrame, column: str, name: str, key: str = "key", pos: str = "pos", width: int | None = None) -> DataFrame:
+    """Adds the column's value in the key's row before this one (null: none).
+
+    With a ``width``, a key's rows are dealt by position bucket, so one key may hold any
+    share of the log: the first row of a bucket takes the last value of the key's bucket
+    before, which comes from one row for each key and bucket."""
+    if width is None:
+        return df.withColumn(name, F.lag(column).over(Window.partitionBy(key).orderBy(pos)))
+    rows = df.withColumn("__bucket", position_bucket(pos, width))
+    last = rows.groupBy(key, "__bucket").agg(F.max_by(F.struct(column), pos).alias("__last"))
+    carried = last.select(key, "__bucket", F.lag("__last").over(Window.partitionBy(key).orderBy("__bucket")).alias("__carried"))
+    inside = Window.partitionBy(key, "__bucket").orderBy(pos)
+    numbered = rows.withColumn("__n", F.row_number().over(inside)).withColumn("__lag", F.lag(column).over(inside))
+    joined = numbered.join(carried, [key, "__bucket"])
+    return joined.withColumn(name, F.when(F.col("__n") > 1, F.col("__lag")).otherwise(F.col(f"__carried.{column}"))).drop("__bucket", "__n", "__lag", "__carried")

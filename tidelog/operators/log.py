@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import dense_rank_of_rows, position_bucket, running_total
+from ..functions.order import dense_rank_of_rows, position_bucket, previous_in_key, running_total
 from ..functions.rules import MAX_KEY_BYTES, MAX_VALUE_BYTES
 
 HEADER_BYTES = 16
@@ -13,9 +13,10 @@ HEADER_BYTES = 16
 ISSUES = ("IO_ERROR", "INCOMPLETE_RECORD", "INVALID_MAGIC", "UNSUPPORTED_VERSION", "INVALID_OPERATION", "INVALID_LENGTH", "DELETE_WITH_VALUE", "CHECKSUM_MISMATCH")
 
 
-def with_previous(log: DataFrame) -> DataFrame:
-    """Adds ``prev``: the key's operation before this one (null: none)."""
-    return log.withColumn("prev", F.lag("op").over(Window.partitionBy("key").orderBy("pos")))
+def with_previous(log: DataFrame, width: int | None = None) -> DataFrame:
+    """Adds ``prev``: the key's operation before this one (null: none). Give a ``width`` (of
+    position buckets) where one key may hold a large share of the log."""
+    return previous_in_key(log, "op", "prev", width=width)
 
 
 def takes_effect() -> Column:
@@ -23,9 +24,9 @@ def takes_effect() -> Column:
     return (F.col("op") == "PUT") | (F.coalesce(F.col("prev"), F.lit("")) == "PUT")
 
 
-def effective(log: DataFrame) -> DataFrame:
+def effective(log: DataFrame, width: int | None = None) -> DataFrame:
     """pos, key, op, value, seq: mutations that change something, densely numbered."""
-    kept = with_previous(log).where(takes_effect()).drop("prev")
+    kept = with_previous(log, width).where(takes_effect()).drop("prev")
     return dense_rank_of_rows(kept, ["pos"], position_bucket("pos"), "seq").select("pos", "key", "op", "value", "seq")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import running_total
+from ..functions.order import running_total, running_totals
 from ..functions.rules import BLOCK_OVERHEAD, COMPACTION_TRIGGER, RECORD_OVERHEAD, octets
 from .state import latest
 
@@ -164,11 +164,7 @@ def unsorted_keys(rows: DataFrame, order: str) -> DataFrame:
 # key ranges -------------------------------------------------------------------
 def _sweep(points: DataFrame, prefix: int) -> DataFrame:
     """Running sums of ``starts``, ``ends`` and ``probes`` over (key, rank), bucketed by key prefix."""
-    bucket = F.substring("key", 1, prefix)
-    out = points
-    for c in ("starts", "ends", "probes"):
-        out = running_total(out, c, ["key", "rank", "tie"], bucket, f"{c}_so_far")
-    return out
+    return running_totals(points, {f"{c}_so_far": c for c in ("starts", "ends", "probes")}, ["key", "rank", "tie"], F.substring("key", 1, prefix))
 
 
 def range_prune(catalog: DataFrame, probes: DataFrame, prefix: int = 8) -> DataFrame:

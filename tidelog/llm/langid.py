@@ -177,7 +177,7 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + n[-1]) / (1 + n[:-1])).astype(np.float32) + np.float32(1)
     # about four times the sample by hash first, so that ranking reads no more, however many documents there are
     share = usable.groupBy("lang").agg((F.lit(4.0 * sample) / F.count(F.lit(1))).alias("share"))
-    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(share, "lang")
+    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(share), "lang")  # a row for each language, as the model has
     thinned = hashed.where((F.col("share") >= 0.5) | (F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = thinned.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)

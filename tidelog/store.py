@@ -110,12 +110,12 @@ class KeyValueStore:
     # reads ----------------------------------------------------------------
     def _tables(self, names: DataFrame) -> DataFrame:
         """generation, key, value, seq, deleted of the named tables (a manifest's rows)."""
-        found = [(r["path"], r["generation"]) for r in names.select("path", "generation").collect()]
-        out = self.spark.createDataFrame([], f"generation long, {ENTRIES}")
-        for path, g in found:
-            t = self.spark.read.schema(ENTRIES).parquet(f"{self.root}/tables/{path}")
-            out = out.unionByName(t.withColumn("generation", F.lit(g).cast("long")))
-        return out
+        paths = [f"{self.root}/tables/{r['path']}" for r in names.select("path").collect()]
+        if not paths:
+            return self.spark.createDataFrame([], f"generation long, {ENTRIES}")
+        # one scan for all tables; a table's name holds its generation
+        generation = F.regexp_extract(F.input_file_name(), r"/L\d-g(\d{20})-", 1).cast("long")
+        return self.spark.read.schema(ENTRIES).parquet(*paths).select(generation.alias("generation"), "key", "value", "seq", "deleted")
 
     def entries(self, version: int | None = None) -> DataFrame:
         """All stored versions that count: tables of a manifest, and the log after them."""

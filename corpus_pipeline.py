@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import langid, packing, simhash, tiling
+from tidelog.llm import langid, packing, shingles, tiling
 from tidelog.llm.store import Workspace, free_name
 from tidelog.llm.tokens import public_path
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group."""
-    return simhash.representatives(docs)
+    """Keeps the document with the smallest id of each group at five-word similarity 0.8."""
+    return shingles.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Held-out accuracy, rejection and odd rows."""
 
 import numpy as np
+import pytest
 from conftest import SF
 from llm.odd import documents, empty
 
@@ -61,3 +62,25 @@ def test_long_texts_are_counted_whole(monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 777)
     pieces = langid.counts([text])
     assert abs(whole - pieces).sum() <= 4 * (len(text) // 777 + 1)
+
+
+def foreign_and_noise():
+    """Latin-script texts that are none of the languages: two real languages, random letters, base64."""
+    import base64
+
+    rng = np.random.default_rng(4)
+    letters = ["".join(map(chr, rng.integers(97, 123, 400))) for _ in range(20)]
+    words = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(60)) for _ in range(20)]
+    coded = [base64.b64encode(rng.bytes(300)).decode() for _ in range(20)]
+    fi = "Tämä on suomenkielinen lause, jossa kerrotaan talvesta ja pitkistä öistä pohjoisessa maassa."
+    tr = "Bu sabah pazara gittim ve arkadaşlarımla birlikte taze sebze ve meyve aldım, sonra eve döndüm."
+    return [*letters, *words, *coded, fi, tr]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_noise_and_foreign_languages_are_rejected_at_all_sizes(spark, sf):
+    docs = spark.read.parquet(f"{SF.replace('0.001', sf)}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    assert all(g[2] for g in model.predict(foreign_and_noise()))
+    known = model.predict([r["text"] for r in docs.limit(1000).collect()])
+    assert np.mean([g[2] for g in known]) < 0.02

@@ -3,8 +3,11 @@
 A text becomes hashed counts of its letter bigrams and trigrams (lower-cased, every run
 of other characters one space), weighted ``(1 + ln tf) * idf`` and normalised. Each
 language has up to ``CLUSTERS`` centroids from spherical k-means; the language of the
-nearest centroid by cosine is predicted. A text further from it than any training
-sample of that language was from its own, by more than ``SLACK`` times, is rejected.
+nearest centroid by cosine is predicted. A text is rejected if its cosine is ``SLACK``
+times below what texts of that language with as many distinct n-grams reach: the
+``LOW`` quantile of held-out cosines (each half of the sample against centroids of the
+other half), with n-grams drawn from the held-out texts for every size, so that it does
+not hang on single odd texts or on the size of the input.
 
 Learning: document frequencies count every training document. The centroids are
 fitted on a bounded sample, ``SAMPLE`` documents for each language, those whose ids
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import remainder, rows
 from .tokens import release
 
-BIGRAMS, TRIGRAMS, CLUSTERS, SAMPLE, SLACK, ITERATIONS = 2048, 6144, 4, 500, 4.0, 12
+BIGRAMS, TRIGRAMS, CLUSTERS, SAMPLE, SLACK, LOW, ITERATIONS = 2048, 6144, 4, 500, 2.5, 0.05, 12
 DIMS = BIGRAMS + TRIGRAMS
 PIECE = 1 << 20  # code points looked at together
 
@@ -107,6 +110,39 @@ def clustered(x: np.ndarray, k: int = CLUSTERS) -> tuple[np.ndarray, float]:
     return m.astype(np.float32), float((x @ m.T).max(1).min())
 
 
+def held_out_cosines(tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For growing numbers of distinct n-grams, the LOW quantile of the cosines of held-out texts."""
+    rng, halves = np.random.default_rng(5), [np.arange(h, len(tf), 2) for h in (0, 1)]
+    if len(tf) < 2:
+        halves = [np.arange(len(tf))] * 2
+    x, n = weighted(tf, idf), tf.sum(1).astype(np.int64)
+    models, ends = [clustered(x[h])[0] for h in halves[::-1]], [np.cumsum(tf[h].astype(np.int64), axis=1) for h in halves]
+    sizes, least, m = [], [], 8
+    while True:
+        some, cosines = [], []
+        for h, model, end in zip(halves, models, ends):
+            at = np.flatnonzero(n[h] >= m)
+            drawn = np.zeros((len(at), tf.shape[1]), np.float32)
+            for i, j in enumerate(at.tolist()):
+                drawn[i] = np.bincount(np.searchsorted(end[j], rng.integers(0, n[h][j], m), "right"), minlength=tf.shape[1])
+            some += (drawn > 0).sum(1).tolist()
+            cosines += (weighted(drawn, idf) @ model.T).max(1).tolist()
+        if len(some) < max(1, len(tf) / 5):  # sizes that few texts have
+            break
+        sizes.append(float(np.median(some)))
+        least.append(float(np.quantile(cosines, LOW)))
+        m *= 2
+    if not sizes:
+        sizes, least = [float(np.median((tf > 0).sum(1)))], [float(np.quantile(np.concatenate([(x[h] @ c.T).max(1) for h, c in zip(halves, models)]), LOW))]
+    return np.array(sizes), np.array(least)
+
+
+def limit(curve: tuple[np.ndarray, np.ndarray], distinct: int) -> float:
+    """The least cosine of a kept text of some distinct n-grams; below the first size it falls as their root."""
+    sizes, least = curve
+    return float(np.interp(np.log(max(1, distinct)), np.log(sizes), least)) * min(1.0, (distinct / sizes[0]) ** 0.5) / SLACK
+
+
 def _frequencies(batches):
     import pyarrow as pa
 
@@ -139,16 +175,18 @@ def _cluster_of(idf: np.ndarray):
         tf = np.zeros((len(group), DIMS), np.float32)
         for i, (d, v) in enumerate(sorted(zip(group["dims"], group["tf"]))):
             tf[i, np.frombuffer(d, np.int32)] = np.frombuffer(v, np.float32)
-        m, least = clustered(weighted(tf, idf))
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "nth": np.arange(len(m)), "least": least, "centroid": [c.tobytes() for c in m]})
+        m, _ = clustered(weighted(tf, idf))
+        sizes, least = held_out_cosines(tf, idf)
+        curve = {"sizes": [sizes.tolist()] * len(m), "least": [least.tolist()] * len(m)}
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "nth": np.arange(len(m)), **curve, "centroid": [c.tobytes() for c in m]})
 
     return run
 
 
 class Model:
-    """Centroids by language, idf, and the distance beyond which a text is rejected."""
+    """Centroids by language, idf, and each centroid's curve of least cosines by distinct n-grams."""
 
-    def __init__(self, langs: list[str], centroids: np.ndarray, limits: np.ndarray, idf: np.ndarray):
+    def __init__(self, langs: list[str], centroids: np.ndarray, limits: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
         self.langs, self.centroids, self.limits, self.idf = langs, centroids, limits, idf
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -163,7 +201,7 @@ class Model:
                 out.append(("und", 0.0, True))
             else:
                 score = float(min(1.0, max(0.0, near[i, j])))
-                out.append((self.langs[j], score, 1 - score > self.limits[j]))
+                out.append((self.langs[j], score, score < limit(self.limits[j], int((tf[i] > 0).sum()))))
         return out
 
 
@@ -183,10 +221,10 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
     ids = thinned.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
     chosen = F.broadcast(ids.select("doc_id", "lang").distinct())  # at most `sample` ids for each language
     vectors = usable.join(chosen, ["doc_id", "lang"]).select("text", "lang").mapInArrow(_vectors, "lang string, dims binary, tf binary")
-    found = vectors.groupBy("lang").applyInPandas(_cluster_of(idf), "lang string, nth int, least double, centroid binary").collect()
+    found = vectors.groupBy("lang").applyInPandas(_cluster_of(idf), "lang string, nth int, sizes array<double>, least array<double>, centroid binary").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["nth"]))
     centroids = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
-    limits = np.array([max(0.0, 1 - r["least"] / SLACK) for r in found])
+    limits = [(np.array(r["sizes"]), np.array(r["least"])) for r in found]
     return Model([r["lang"] for r in found], centroids, limits, idf)
 
 

@@ -4,7 +4,7 @@ import corpus_pipeline
 from conftest import SF
 from llm.odd import documents, empty
 from llm.test_packing import check
-from llm.test_simhash import groups
+from llm.test_shingles import kept as one_of_each_group
 
 from tidelog.llm import langid, tiling
 
@@ -19,7 +19,7 @@ def kept(spark, docs, sf):
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     rows = [r for r, p in zip(rows, model.predict([t for _, t in rows])) if not p[2]]
-    lowest = {c for _, _, c in groups(rows)}
+    lowest = set(one_of_each_group(rows))
     rows = sorted({r for r in rows if r[0] in lowest})
     space = lambda t: " " + " ".join(tiling.words_of(t)) + " "
     items = [space(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -100,7 +100,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
         from .tokens import encoder
 
-        for b in rows(batches, 1024):
+        for b in rows(batches, 1024, 2_000_000):  # the pre-tokens of a group are held at once
             ids = b.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], [], [], []]
             for doc, data in zip(ids, encoder(path).encode(b.column("text").to_pylist())):

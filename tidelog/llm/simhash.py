@@ -74,41 +74,78 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return doc_texts(docs).mapInArrow(_fingerprints(shingle), f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def planes(fps: np.ndarray) -> np.ndarray:
-    """The 64 bit planes of some fingerprints, packed: plane k holds bit k of each."""
-    bits = np.unpackbits(np.ascontiguousarray(fps, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(bits.T, axis=1)
+def planes(words: np.ndarray) -> np.ndarray:
+    """The bit planes of some fingerprints (a row of one or several 64-bit words each), packed: plane k holds bit k of each."""
+    w = np.ascontiguousarray(words, ">u8").reshape(len(words), -1)
+    return np.packbits(np.unpackbits(w.view(np.uint8).reshape(len(w), -1), axis=1).T, axis=1)
 
 
 def within(rows_of_planes: np.ndarray, n: int, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Packed flags, a row for each query: which of n fingerprints differ in at most radius (< 4) bits.
-
-    Carry-save addition of the 64 difference planes into counters ones and twos; over
-    marks lanes whose count left them, or is over the radius at the end."""
-    masks = -np.unpackbits(np.ascontiguousarray(queries, ">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
-    masks = masks.view(np.uint8)
-    shape = (len(queries), rows_of_planes.shape[1])
-    ones, twos, over = (np.zeros(shape, np.uint8) for _ in range(3))
+    """Packed flags, a row for each query: which of n fingerprints differ in at most radius bits.
+
+    Carry-save addition of the difference planes into bit-sliced counters (ones, twos,
+    fours, ...) of as many levels as the radius needs; over marks lanes whose count left
+    them, or is over the radius at the end."""
+    bits, width = rows_of_planes.shape
+    q = np.ascontiguousarray(queries, ">u8").reshape(len(queries), -1)
+    masks = (-np.unpackbits(q.view(np.uint8).reshape(len(q), -1), axis=1).astype(np.int8)).view(np.uint8)
+    shape = (len(q), width)
+    counters = [np.zeros(shape, np.uint8) for _ in range(radius.bit_length())]
+    over = np.zeros(shape, np.uint8)
     over[:, -1] = (1 << -n % 8) - 1  # lanes beyond the last fingerprint
-    for k in range(64):
-        d = rows_of_planes[k][None, :] ^ masks[:, k, None]
-        carry = ones & d
-        ones ^= d
-        over |= twos & carry
-        twos ^= carry
+    for k in range(bits):
+        carry = rows_of_planes[k][None, :] ^ masks[:, k, None]
+        for c in counters[: (k + 1).bit_length()]:
+            c ^= carry
+            carry = carry & ~c
+        if k + 1 >= 1 << len(counters):
+            over |= carry
         if k % 16 == 15 and over.min(initial=255) == 255:
-            break  # every pair of the block is over the radius
-    if radius < 3:
-        over |= twos & ones if radius == 2 else twos
-        if radius == 0:
-            over |= ones
+            return ~over  # every pair of the block is over the radius
+    even = ~over  # lanes whose higher levels equal the radius's
+    for level in reversed(range(len(counters))):
+        if radius >> level & 1:
+            even &= counters[level]
+        else:
+            over |= even & counters[level]
+            even &= ~counters[level]
     return ~over
 
 
 def pairs_within(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For XORs of pairs: which have at most radius bits, by the same counters."""
+    """For XORs of pairs (of one or several words): which have at most radius bits, by the same counters."""
     p = planes(x)
-    return np.unpackbits(within(p, len(x), np.zeros(1, np.uint64), radius)[0])[: len(x)].astype(bool)
+    return np.unpackbits(within(p, len(x), np.zeros((1, len(p) // 64), np.uint64), radius)[0])[: len(x)].astype(bool)
+
+
+def small_pairs(keys: np.ndarray, member: np.ndarray, words: np.ndarray, most: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius in small groups, all side by side: rows at a distance of s
+    in an array sorted by key; member: rows of groups of at most ``most`` rows."""
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s in range(1, most):
+        at = np.flatnonzero(member[:-s] & (keys[s:] == keys[:-s]))
+        if len(at):
+            at = at[pairs_within(words[at] ^ words[at + s], radius)]
+            i.append(at)
+            j.append(at + s)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def whole_groups(batches, columns):
+    """Tuples of arrays (the key first) that hold whole groups, from batches sorted by key."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = columns(b)
+        if held is not None:
+            now = tuple(np.concatenate(x) for x in zip(held, now))
+        last = np.searchsorted(now[0], now[0][-1], "left")  # the last group may go on
+        if last:
+            yield tuple(x[:last] for x in now)
+        held = tuple(x[last:] for x in now)
+    if held is not None and len(held[0]):
+        yield held
 
 
 def star_edges(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -161,50 +198,42 @@ def _linked(radius: int):
     def edges_of(keys, sides, fps):
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
-        u, v = [], []
-        # all small groups side by side: pairs at a distance of s rows
         small = (sizes <= 32) & (sides[starts] == 0)
-        member = np.repeat(small, sizes)
-        for s in range(1, int(sizes[small].max(initial=1))):
-            at = np.flatnonzero(member[:-s] & (keys[s:] == keys[:-s]))
-            if len(at):
-                at = at[pairs_within(fps[at] ^ fps[at + s], radius)]
-                u.append(fps[at])
-                v.append(fps[at + s])
+        i, j = small_pairs(keys, np.repeat(small, sizes), fps, int(sizes[small].max(initial=1)), radius)
+        u, v = [fps[i]], [fps[j]]
         for lo, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
             found = group(sides, fps, lo, lo + n)
             if found:
                 e = np.array(found, np.uint64)
                 u.append(e[:, 0])
                 v.append(e[:, 1])
-        return np.concatenate(u) if u else np.empty(0, np.uint64), np.concatenate(v) if v else np.empty(0, np.uint64)
+        return np.concatenate(u), np.concatenate(v)
 
     def run(batches):
         import pyarrow as pa
 
-        held = None
-
-        def out(keys, sides, fps):
-            u, v = edges_of(keys, sides, fps)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column("key").to_numpy(zero_copy_only=False)
-            now = (key, b.column("side").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-            if held is not None:
-                now = tuple(np.concatenate(x) for x in zip(held, now))
-            last = np.searchsorted(now[0], now[0][-1], "left")  # the last group may go on
-            if last:
-                yield out(*(x[:last] for x in now))
-            held = tuple(x[last:] for x in now)
-        if held is not None and len(held[0]):
-            yield out(*held)
+        columns = lambda b: (*(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side")), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+        for whole in whole_groups(batches, columns):
+            u, v = edges_of(*whole)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return run
 
 
+def chunked(dealt: DataFrame, bucket: str, by: str, split: int = SPLIT) -> DataFrame:
+    """Rows of the buckets that hold several, with ``key`` and ``side``: a large bucket is dealt
+    into chunks by a hash of ``by``; two chunks meet under one key as sides 1 and 2, a chunk
+    meets itself as side 0. Buckets of one row have no pair."""
+    counted = dealt.groupBy(bucket).count().where(F.col("count") > 1)
+    chunks = F.ceil(F.col("count") / split).cast("int")
+    met = dealt.join(counted, bucket).withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(by, F.lit(1)), F.col("chunks").cast("long")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("chunks") - 1)
+    spread = met.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(other)))
+    pair = F.struct(F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return spread.select(*dealt.columns, F.xxhash64(bucket, pair).alias("key"), side.cast("int").alias("side"))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """Edges (u, v) between different fingerprints (column fp, distinct) that connect all
     that lie within the radius."""
@@ -216,15 +245,7 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     fp = F.col("fp")
     buckets = [F.xxhash64(F.lit(t), *[F.shiftrightunsigned(fp, low[i]).bitwiseAND((1 << width[i]) - 1) for i in c]) for t, c in enumerate(chosen)]
     dealt = fps.select("fp", F.explode(F.array(*buckets)).alias("bucket"))
-    counted = dealt.groupBy("bucket").count().where(F.col("count") > 1)
-    # buckets of one have no pair; the chunks of a large one meet two by two
-    chunks = F.ceil(F.col("count") / split).cast("int")
-    met = dealt.join(counted, "bucket").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks").cast("long")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    spread = met.select("fp", "bucket", "mine", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(other)).alias("other"))
-    pair = F.struct(F.least("mine", "other"), F.greatest("mine", "other"))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    keyed = spread.select("fp", F.xxhash64("bucket", pair).alias("key"), side.cast("int").alias("side"))
+    keyed = chunked(dealt, "bucket", "fp", split).select("fp", "key", "side")
     return keyed.repartition("key").sortWithinPartitions("key", "side", "fp").mapInArrow(_linked(radius), "u long, v long")
 
 

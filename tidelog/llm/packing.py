@@ -98,8 +98,9 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         import pyarrow as pa
 
-        from .tokens import encoder
+        from .tokens import encoder, trim
 
+        trim()
         for b in rows(batches, 1024, 2_000_000):  # the pre-tokens of a group are held at once
             ids = b.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], [], [], []]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import dense_rank_of_rows, position_bucket, previous_in_key, running_total
+from ..functions.order import WIDTH, dense_rank_of_rows, position_bucket, previous_in_key, running_total
 from ..functions.rules import MAX_KEY_BYTES, MAX_VALUE_BYTES
 
 HEADER_BYTES = 16
@@ -13,9 +13,9 @@ HEADER_BYTES = 16
 ISSUES = ("IO_ERROR", "INCOMPLETE_RECORD", "INVALID_MAGIC", "UNSUPPORTED_VERSION", "INVALID_OPERATION", "INVALID_LENGTH", "DELETE_WITH_VALUE", "CHECKSUM_MISMATCH")
 
 
-def with_previous(log: DataFrame, width: int | None = None) -> DataFrame:
-    """Adds ``prev``: the key's operation before this one (null: none). Give a ``width`` (of
-    position buckets) where one key may hold a large share of the log."""
+def with_previous(log: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Adds ``prev``: the key's operation before this one (null: none). A key's history is dealt
+    over position buckets, so one key may hold any share of the log."""
     return previous_in_key(log, "op", "prev", width=width)
 
 
@@ -24,20 +24,20 @@ def takes_effect() -> Column:
     return (F.col("op") == "PUT") | (F.coalesce(F.col("prev"), F.lit("")) == "PUT")
 
 
-def effective(log: DataFrame, width: int | None = None) -> DataFrame:
+def effective(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """pos, key, op, value, seq: mutations that change something, densely numbered."""
     kept = with_previous(log, width).where(takes_effect()).drop("prev")
     return dense_rank_of_rows(kept, ["pos"], position_bucket("pos"), "seq").select("pos", "key", "op", "value", "seq")
 
 
-def noop_deletes(log: DataFrame) -> DataFrame:
+def noop_deletes(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """pos, key of deletes of keys that were not live: they use no sequence number."""
-    return with_previous(log).where(~takes_effect()).select("pos", "key")
+    return with_previous(log, width).where(~takes_effect()).select("pos", "key")
 
 
-def cluster_deletes(log: DataFrame) -> DataFrame:
+def cluster_deletes(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """pos, key, existed of every delete: a replicated log keeps all of them."""
-    return with_previous(log).where(F.col("op") == "DELETE").select("pos", "key", (F.coalesce(F.col("prev"), F.lit("")) == "PUT").alias("existed"))
+    return with_previous(log, width).where(F.col("op") == "DELETE").select("pos", "key", (F.coalesce(F.col("prev"), F.lit("")) == "PUT").alias("existed"))
 
 
 def live_delta() -> Column:
@@ -46,9 +46,9 @@ def live_delta() -> Column:
     return F.when((F.col("op") == "PUT") & (prev != "PUT"), 1).when((F.col("op") == "DELETE") & (prev == "PUT"), -1).otherwise(0).cast("long")
 
 
-def live_timeline(log: DataFrame) -> DataFrame:
+def live_timeline(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """pos, delta, live: live keys after each logged mutation."""
-    return running_total(with_previous(log), live_delta(), ["pos"], position_bucket("pos"), "live").select("pos", live_delta().alias("delta"), "live")
+    return running_total(with_previous(log, width), live_delta(), ["pos"], position_bucket("pos"), "live").select("pos", live_delta().alias("delta"), "live")
 
 
 def issue_code() -> Column:

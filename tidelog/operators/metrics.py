@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import dense_rank_of_rows, position_bucket
+from ..functions.order import dense_rank_of_rows, order_statistics, position_bucket
 from ..functions.rules import RING_SLOTS, quantiles
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -26,13 +26,15 @@ def gauges(samples: DataFrame) -> DataFrame:
 
 
 def histograms(samples: DataFrame) -> DataFrame:
-    """name, count, sum, p50, p95, p99 over all observations. Exact quantiles need a group's
-    distinct values in one place: names are few and values of a name repeat."""
-    return samples.groupBy("name").agg(F.count(F.lit(1)).alias("count"), exact_sum("value").alias("sum"), *quantiles("value", QUANTILES))
+    """name, count, sum, p50, p95, p99 over all observations, the quantiles exact."""
+    summed = samples.groupBy("name").agg(F.count(F.lit(1)).alias("count"), exact_sum("value").alias("sum"))
+    ranked = order_statistics(samples, ["name"], "value", QUANTILES).withColumnRenamed("name", "of")
+    return summed.join(ranked, F.col("name").eqNullSafe(F.col("of")), "left").select("name", "count", "sum", *QUANTILES)
 
 
 def ring(samples: DataFrame, slots: int = RING_SLOTS) -> DataFrame:
-    """One row: count and sum of all observations, quantiles of the last one in each slot.
+    """One row: count and sum of all observations, quantiles of the last one in each slot
+    (as many values as there are slots).
 
     Observation i fills slot i-1 up to the number of slots, then slot i mod slots."""
     numbered = dense_rank_of_rows(samples.select("pos", "value"), ["pos"], position_bucket("pos"), "i")
@@ -44,15 +46,16 @@ def ring(samples: DataFrame, slots: int = RING_SLOTS) -> DataFrame:
 def workload_report(samples: DataFrame, seconds: float) -> DataFrame:
     """One row from (op, ok, latency): operations, reads, writes, rate, error rate, quantiles."""
     n = F.count(F.lit(1))
-    return samples.agg(
+    ranked = order_statistics(samples, [], "latency", QUANTILES)  # one row
+    summed = samples.agg(
         n.alias("operations"),
         F.count_if(F.col("op") == "GET").alias("reads"),
         F.count_if(F.col("op") != "GET").alias("writes"),
         (n / F.lit(float(seconds))).alias("operations_per_second"),
         F.coalesce(F.try_divide(F.count_if(~F.col("ok")).cast("double"), n.cast("double")), F.lit(0.0)).alias("error_rate"),
-        *quantiles("latency", QUANTILES),
         F.max("latency").alias("max"),
     )
+    return summed.join(F.broadcast(ranked)).select(*[c for c in summed.columns if c != "max"], *QUANTILES, "max")
 
 
 def prometheus(counters: DataFrame, gauges: DataFrame, histogram: DataFrame) -> DataFrame:

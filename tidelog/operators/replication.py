@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import WIDTH, previous_in_key
 from ..functions.rules import APPEND_ENTRIES
 from .state import latest
 
@@ -86,10 +87,12 @@ def append_batch(leader: DataFrame, next_index: int, most: int = APPEND_ENTRIES)
     return leader.where((F.col("index") >= next_index) & (F.col("index") < next_index + most))
 
 
-def gaps(log: DataFrame, snapshot_index: int = 0) -> DataFrame:
-    """node, index of entries that do not follow the one before (or the snapshot)."""
-    before = F.lag("index", 1, snapshot_index).over(Window.partitionBy("node").orderBy("index"))
-    return log.withColumn("before", before).where(F.col("index") != F.col("before") + 1).select("node", "index", "before")
+def gaps(log: DataFrame, snapshot_index: int = 0, width: int = WIDTH) -> DataFrame:
+    """node, index of entries that do not follow the one before (or the snapshot). A node's
+    log is dealt over index buckets."""
+    found = previous_in_key(log.select("node", "index"), "index", "last", key="node", pos="index", width=width)
+    before = F.coalesce("last", F.lit(snapshot_index).cast("long"))
+    return found.withColumn("before", before).where(F.col("index") != F.col("before") + 1).select("node", "index", "before")
 
 
 def term_at(log: DataFrame, index: int, snapshot: tuple[int, int] = (0, 0)) -> DataFrame:

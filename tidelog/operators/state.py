@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import WIDTH, next_in_key, previous_in_key
+
 
 def latest(entries: DataFrame, by: list | None = None) -> DataFrame:
     """The newest version of each key, tombstones too (columns key, value, seq, deleted kept).
@@ -67,10 +69,9 @@ def put(state: DataFrame, rows: DataFrame) -> DataFrame:
     return state.join(rows, "key", "left_anti").unionByName(rows)
 
 
-def history(entries: DataFrame) -> DataFrame:
+def history(entries: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, seq, valid_to, deleted: each version until the next one shadows it."""
-    after = F.lead("seq").over(Window.partitionBy("key").orderBy("seq"))
-    return entries.select("key", "seq", after.alias("valid_to"), "deleted")
+    return next_in_key(entries.select("key", "seq", "deleted"), "seq", "valid_to", pos="seq", width=width).select("key", "seq", "valid_to", "deleted")
 
 
 def as_of(entries: DataFrame, seq: int) -> DataFrame:
@@ -78,10 +79,9 @@ def as_of(entries: DataFrame, seq: int) -> DataFrame:
     return live(entries.where(F.col("seq") <= seq))
 
 
-def out_of_order(entries: DataFrame) -> DataFrame:
+def out_of_order(entries: DataFrame, width: int = WIDTH) -> DataFrame:
     """Versions whose seq is not above the key's previous one in log order, or not positive."""
-    before = F.lag("seq").over(Window.partitionBy("key").orderBy("pos"))
-    return entries.withColumn("before", before).where((F.col("seq") <= F.coalesce(F.col("before"), F.lit(0)))).select("pos", "key", "seq")
+    return previous_in_key(entries, "seq", "before", width=width).where((F.col("seq") <= F.coalesce(F.col("before"), F.lit(0)))).select("pos", "key", "seq")
 
 
 def overlay(memory: DataFrame, stored: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def read_merge(spark, d):
 
 @query
 def range_prune_counts(spark, d):
-    return tables.range_prune(inputs.catalog(spark, d), inputs.probes(spark, d))
+    return tables.range_prune(tables.catalogue(inputs.stored_level0(spark, d)), inputs.probes(spark, d))
 
 
 @query
@@ -241,13 +241,14 @@ def bloom_sizing(spark, d):
 
 @query
 def bloom_negatives_exact(spark, d):
-    return tables.bloom_checks(inputs.catalog(spark, d), inputs.level0(spark, d), inputs.probes(spark, d))
+    l0 = inputs.stored_level0(spark, d)
+    return tables.bloom_checks(tables.catalogue(l0), l0, inputs.probes(spark, d))
 
 
 @query
 def bloom_totals(spark, d):
-    checks = tables.bloom_checks(inputs.catalog(spark, d), inputs.level0(spark, d), inputs.probes(spark, d))
-    return bloom.totals(bloom.sizing(inputs.catalog(spark, d)), checks)
+    l0 = inputs.stored_level0(spark, d)
+    return bloom.totals(bloom.sizing(tables.catalogue(l0)), tables.bloom_checks(tables.catalogue(l0), l0, inputs.probes(spark, d)))
 
 
 @query
@@ -263,50 +264,56 @@ def l0_select(spark, d):
 
 @query
 def l1_overlap(spark, d):
-    chosen = inputs.catalog(spark, d).where(F.col("generation").isin(9, 10))
-    return tables.overlap_closure(chosen, tables.catalogue(inputs.level1(spark, d), 1)).select("generation", "smallest_key", "largest_key")
+    """What the newest level-0 tables reach of level 1."""
+    l0 = inputs.stored_level0(spark, d)
+    newest = F.broadcast(l0.agg(F.max("generation").alias("last")))
+    chosen = tables.catalogue(l0).join(newest).where(F.col("generation") > F.col("last") - inputs.NEW)
+    return tables.overlap_closure(chosen, tables.catalogue(inputs.level1(l0), 1)).select("generation", "smallest_key", "largest_key")
 
 
 @query
 def l1_violations(spark, d):
-    return tables.overlapping_neighbours(inputs.catalog(spark, d))
+    return tables.overlapping_neighbours(tables.catalogue(inputs.stored_level0(spark, d)))
 
 
 @query
 def level_counts(spark, d):
     level = lambda df, n: df.select(F.lit(n).cast("long").alias("level"))
-    both = level(inputs.catalog(spark, d), 0).unionByName(level(tables.catalogue(inputs.level1(spark, d), 1), 1))
+    l0 = inputs.stored_level0(spark, d)
+    both = level(tables.catalogue(l0), 0).unionByName(level(tables.catalogue(inputs.level1(l0), 1), 1))
     return tables.needs_compaction(both)
 
 
 @query
 def compact_l0(spark, d):
-    return tables.compact(inputs.level0(spark, d), tables.pick_oldest(inputs.catalog(spark, d)))
+    l0 = inputs.stored_level0(spark, d)
+    return tables.compact(l0, tables.pick_oldest(tables.catalogue(l0)))
 
 
 @query
 def compaction_counters(spark, d):
-    return tables.compaction_counters(inputs.level0(spark, d), tables.pick_oldest(inputs.catalog(spark, d)))
+    l0 = inputs.stored_level0(spark, d)
+    return tables.compaction_counters(l0, tables.pick_oldest(tables.catalogue(l0)))
 
 
 @query
 def tombstone_drop(spark, d):
-    """A merge of later tables: older ones outside keep some tombstones."""
-    return tables.droppable(inputs.level0(spark, d), inputs.catalog(spark, d).where(F.col("generation").between(1, 3)))
+    """A merge of every second table: older ones outside keep some tombstones."""
+    l0 = inputs.stored_level0(spark, d)
+    return tables.droppable(l0, tables.catalogue(l0).where(F.col("generation") % 2 == 1))
 
 
 @query
 def flush_live_delta(spark, d):
-    """Live count change of flushing the second table onto the first."""
-    l0 = inputs.level0(spark, d)
-    return tables.flush_delta(l0.where("generation = 1"), state.live(l0.where("generation = 0")))
+    """Live count change of each flush."""
+    return tables.flush_deltas(inputs.level0(spark, d))
 
 
 @query
 def manifest_diff(spark, d):
-    old = inputs.catalog(spark, d).select("path", "entry_count", "max_seq")
-    chosen = tables.pick_oldest(inputs.catalog(spark, d)).select("path")
-    merged = tables.compact(inputs.level0(spark, d), tables.pick_oldest(inputs.catalog(spark, d)))
+    l0 = inputs.stored_level0(spark, d)
+    old, chosen = tables.catalogue(l0).select("path", "entry_count", "max_seq"), tables.pick_oldest(tables.catalogue(l0))
+    merged = tables.compact(l0, chosen)
     output = tables.catalogue(merged.withColumn("generation", F.lit(3).cast("long")), 1).select("path", "entry_count", "max_seq")
     return tables.manifest_diff(old, tables.replaced(old, chosen, output))
 
@@ -466,26 +473,12 @@ def stream_state(spark, d):
     """The event log as a stream, flushed in micro-batches and read back: live keys."""
     import uuid
 
-    from ..sources.logs import MUTATIONS  # noqa: F401
-
-    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    root = f"{inputs.scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
     events_log(spark, d).write.parquet(f"{root}/log")
     q = streaming.flush_batches(streaming.read_stream(spark, f"{root}/log", 1), f"{root}/tables", f"{root}/checkpoint")
     q.awaitTermination()
     return state.live(streaming.flushed(spark, f"{root}/tables"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one in local mode without the setting."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir: must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tidelog-")
-    return named.rstrip("/")
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import log, state, tables
 from ..sources.logs import events_log, table
 
-#: Sequence numbers in a generation, and generations that form level 1.
-CHECKPOINT, OLD = 500, 8
+#: Sequence numbers in a generation, and the newest generations, which level 1 does not hold yet.
+CHECKPOINT, NEW = 500, 4
+
+
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder, or a temporary one in local mode without the setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tidelog-")
+    return named.rstrip("/")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +38,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.catalogue(level0(spark, sf_dir))
 
 
-def level1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level 1 as five key ranges (by the last digit of the key's length class and first digit
-    after the prefix) of what the first generations left alive."""
-    old = state.latest(level0(spark, sf_dir).where(F.col("generation") < OLD)).where(~F.col("deleted"))
+def stored_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flushed tables as files, which queries that mention them several times read."""
+    path = f"{scratch(spark)}/level0-{uuid.uuid4().hex[:12]}"
+    level0(spark, sf_dir).write.parquet(path)
+    return spark.read.schema("generation long, key string, value string, seq long, deleted boolean").parquet(path)
+
+
+def level1(l0: DataFrame) -> DataFrame:
+    """Level 1 as five key ranges (by the first digit after the prefix) of what all but the
+    newest generations left alive."""
+    last = F.broadcast(l0.agg(F.max("generation").alias("last")))
+    old = state.latest(l0.join(last).where(F.col("generation") <= F.col("last") - NEW).drop("last")).where(~F.col("deleted"))
     digit = F.substring("key", 6, 1).cast("long")
     return old.select(F.floor(digit / 2).cast("long").alias("generation"), "key", "value", "seq", "deleted")
 

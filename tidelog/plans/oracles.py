@@ -22,7 +22,7 @@ probes as (select 'user:' || cast(c_custkey as varchar) as key from customer)"""
 )
 LEVEL1 = """,
 l1 as (select cast(floor(cast(substr(key, 6, 1) as bigint) / 2.0) as bigint) as generation, key, value, seq, deleted
-  from (select *, row_number() over (partition by key order by seq desc) as r from l0 where generation < 8) where r = 1 and not deleted),
+  from (select *, row_number() over (partition by key order by seq desc) as r from l0 where generation <= (select max(generation) from l0) - 4) where r = 1 and not deleted),
 cat1 as (select generation, count(*) as n, min(key) as smallest_key, max(key) as largest_key from l1 group by generation)"""
 PICK = """,
 pick as (select generation, path from cat order by max_seq, generation limit 4)"""
@@ -148,7 +148,7 @@ from cat left join probes on probes.key between smallest_key and largest_key gro
 from (select user_id, count(*) filter (event_type = 'view') as hits, count(*) filter (event_type = 'click') as misses from events group by user_id)""",
     "l0_select": WITH(L0) + "select generation, max_seq from cat order by max_seq, generation limit 4",
     "l1_overlap": "with recursive " + L0 + LEVEL1 + """,
-reach as (select min(smallest_key) as low, max(largest_key) as high from cat where generation in (9, 10)
+reach as (select min(smallest_key) as low, max(largest_key) as high from cat where generation > (select max(generation) from cat) - 4
   union select least(r.low, c.smallest_key), greatest(r.high, c.largest_key) from reach r join cat1 c on c.smallest_key <= r.high and c.largest_key >= r.low)
 select distinct generation, smallest_key, largest_key from cat1 join reach on smallest_key <= high and largest_key >= low""",
     "l1_violations": WITH(L0) + "select generation, smallest_key, previous_largest from (select *, lag(largest_key) over (order by smallest_key, generation) as previous_largest from cat) where previous_largest >= smallest_key",
@@ -156,9 +156,9 @@ select distinct generation, smallest_key, largest_key from cat1 join reach on sm
     "compact_l0": WITH(L0 + PICK + merged("pick")) + "select * from out",
     "compaction_counters": WITH(L0 + PICK + merged("pick")) + """select (select count(*) from pick) as input_tables, cast((select count(*) > 0 from out) as bigint) as output_tables,
   (select count(*) from l0 where generation in (select generation from pick)) as input_entries, (select count(*) from out) as output_entries, (select count(*) from judged where droppable) as tombstones_dropped""",
-    "tombstone_drop": WITH(L0 + ",\nchosen as (select generation from cat where generation between 1 and 3)" + merged("chosen")) + "select key, seq, droppable from judged",
-    "flush_live_delta": WITH(L0) + """select cast(coalesce(sum(case when not n.deleted and (o.key is null or o.deleted) then 1 when n.deleted and not o.deleted then -1 else 0 end), 0) as bigint) as live_delta
-from (select * from l0 where generation = 1) n left join (select * from l0 where generation = 0) o on n.key = o.key""",
+    "tombstone_drop": WITH(L0 + ",\nchosen as (select generation from cat where generation % 2 = 1)" + merged("chosen")) + "select key, seq, droppable from judged",
+    "flush_live_delta": WITH(L0) + """select generation, cast(sum(case when not deleted and coalesce(before, true) then 1 when deleted and not before then -1 else 0 end) as bigint) as live_delta
+from (select *, lag(deleted) over (partition by key order by generation) as before from l0) group by generation""",
     "manifest_diff": WITH(L0 + PICK + merged("pick")) + """select path, case when path in (select path from pick) then 'REMOVED' else 'KEPT' end as status from cat
 union all select 'sstable-L1-f' || lpad('4', 20, '0') || '-g' || lpad('3', 20, '0') || '-s' || lpad(cast(max(seq) as varchar), 20, '0') || '.sst', 'ADDED' from out having count(*) > 0""",
     "orphan_files": WITH(L0) + "select path from cat where generation % 3 = 0",

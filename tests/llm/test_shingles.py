@@ -50,6 +50,41 @@ def test_stage_finds_every_near_copy(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == expect
 
 
+def test_linked_sets_are_within_the_radius():
+    """The wide radius keeps sets at the similarity, whatever their size, by far."""
+    rng = np.random.default_rng(4)
+    worst = 0
+    for n in [5, 6, 9, 10, 14, 18, 27, 45, 90, 180, 900] * 20:
+        shared = -(-8 * n // 9)  # two sets of n runs at the similarity
+        every = rng.integers(0, 2**63, 2 * n - shared, dtype=np.uint64)
+        a, b = every[:n], np.concatenate([every[:shared], every[n:]])
+        assert shingles.similar(np.sort(a), np.sort(b))
+        worst = max(worst, int(np.bitwise_count(shingles.fingerprint(a) ^ shingles.fingerprint(b)).sum()))
+    assert worst < shingles.WIDE - 10
+
+
+def test_large_buckets_and_rounds_change_no_link(spark, monkeypatch):
+    rows = near_copies() + [(1000 + i, t) for i, (_, t) in enumerate(family())]
+    expect = kept(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunked = shingles.chunked
+    monkeypatch.setattr(shingles, "chunked", lambda df, bucket, by: chunked(df, bucket, by, 7))
+    assert sorted(r["doc_id"] for r in shingles.representatives(docs).collect()) == expect
+
+
+def family():
+    """Copies of one text with edits of their own: most pairs of copies are below the similarity."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 150)]
+    out = [(0, " ".join(base))]
+    for k in range(60):
+        w = list(base)
+        for at in rng.integers(0, len(w), 1 + k % 5):
+            w[at] = f"own{k}-{at}"
+        out.append((k + 1, " ".join(w)))
+    return out
+
+
 def test_stage_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = corpus_pipeline.near_duplicates(spark, docs, SF)

@@ -111,6 +111,18 @@ def test_bit_slices_equal_distances(seed, n, radius):
         assert components(n, edges) == components(n, links)
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 1000), st.integers(1, 60), st.sampled_from([0, 1, 2, 5, 8, 40, 63, 64, 88, 127]), st.sampled_from([1, 2, 4]))
+def test_counters_of_any_radius_and_width(seed, n, radius, words):
+    rng = np.random.default_rng(seed)
+    f = rng.integers(0, 2**63, (n, words), dtype=np.uint64)
+    f[n // 2 :] = f[: n - n // 2] ^ (rng.integers(0, 2**63, (n - n // 2, words), dtype=np.uint64) & rng.integers(0, 2**63, (n - n // 2, words), dtype=np.uint64))
+    distance = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    flags = np.unpackbits(simhash.within(simhash.planes(f), n, f, radius), axis=1)
+    assert (flags[:, :n] == (distance <= radius)).all() and not flags[:, n:].any()
+    assert (simhash.pairs_within(f ^ f[0], radius) == (distance[0] <= radius)).all()
+
+
 def test_long_texts_in_chunks(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(500))
     for chunk in (1, 7, 498, 499, 1 << 17):

@@ -30,7 +30,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     formatted = Workspace(spark, "op3").stage(chat.format_conversations(turns, public_path("byte_bpe_50k.json")), "formatted", "zstd")
-    return chat.digests(formatted)
+    return chat.digests(formatted).drop("n_tokens", "n_loss_tokens")  # what SQL has no form for
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shard_documents(table(spark, sf_dir, "documents"), Workspace(spark, "op8").path("store"))
+    stored = shards.shard_documents(table(spark, sf_dir, "documents"), Workspace(spark, "op8").path("store"))
+    return stored.drop("shard", "version")  # names of files differ from run to run
 
 
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +67,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: The template's escapes lengthen a text by one for each control string, and roles by their own.
+OP3_SQL = r"""with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+w as (select *, replace(replace(role, '\', '\\'), chr(10), '\n') as shown from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(24 + length(shown) + len(regexp_extract_all(shown, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) as bigint) as formatted_chars
+from w group by conv_id"""
+OP8_SQL = "select doc_id, length(coalesce(text, '')) as n_chars, sha256(coalesce(text, '')) as text_sha256 from documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_formatting": OP3_SQL, "op8_size_tiered_sharding": OP8_SQL}

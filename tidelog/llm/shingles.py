@@ -10,8 +10,9 @@ common in a bounded sample of documents sort last, which keeps boilerplate out o
 prefixes; any order gives the same links. Candidates are compared as SimHash fingerprints
 of ``WORDS`` x 64 bits, bit-sliced by the operator's counters (``simhash.within``), at
 ``WIDE`` bits: a bit of two sets at the similarity differs with a chance of at most 0.19
-(five runs against four of them), so a link is lost with a chance below 1e-9. Pairs
-within it are compared as whole sets, exactly, but for pairs that others have connected.
+(five runs against four of them), so with independent bits a link is lost with a chance
+of at most 3e-8, and below 1e-11 from ten runs on. Pairs within it are compared as whole
+sets, exactly, but for pairs that others have connected.
 
 Defined results: null, empty and wordless texts are one group; repeated and null ids keep
 a row each until groups are formed; a group keeps its smallest id (of groups without ids,

@@ -82,8 +82,43 @@ def test_repeated_words_in_an_item(spark):
     assert leaks(spark, [item, "one two three four five six", f"{item} {item}"], [item]) == {0: (0, 1, 14, 1.0), 2: (0, 1, 14, 1.0)}
 
 
-def test_short_and_empty_items_match_nothing(spark):
-    assert leaks(spark, ["the cat sat", "x"], ["the cat sat", "", None, "x"]) == {}
+def test_tiles_equal_a_plain_search_with_repeated_words():
+    random.seed(9)
+    for _ in range(1500):
+        item = [random.randrange(12) for _ in range(random.randrange(1, 30))]
+        doc = [random.randrange(12) for _ in range(random.randrange(30))]
+        for _ in range(random.randrange(4)):
+            a, at = random.randrange(len(item)), random.randrange(len(doc) + 1)
+            doc[at:at] = item[a : a + random.randrange(2, 15)]
+        least = random.randrange(1, 6)
+        got = tiling.tile(np.array(item, np.uint64), np.array(doc, np.uint64), least)
+        assert sorted(got) == sorted(plain(item, doc, min(least, len(item))))
+
+
+def test_short_items_match_whole_and_empty_ones_nothing(spark):
+    texts = ["On it the cat sat.", "x", "the sat cat", "", "the cat x sat"]
+    items = ["the cat sat", "", None, "x", "X", "one two three four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = sorted(tuple(r) for r in tiling.contaminated(docs, bench).collect())
+    assert found == [(0, 0, 1, 3, 3, 1.0), (1, 3, 1, 1, 1, 1.0), (1, 4, 1, 1, 1, 1.0), (4, 3, 1, 1, 1, 1.0), (4, 4, 1, 1, 1, 1.0)]
+    assert sorted(r["doc_id"] for r in tiling.without_leaks(docs, bench).collect()) == [2, 3]
+
+
+def test_query_equals_a_plain_search_both_ways(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    number = {}
+    code = lambda t: [number.setdefault(w, len(number)) for w in tiling.words_of(t)]
+    runs = lambda c: {tuple(c[i : i + 5]) for i in range(len(c) - 4)}
+    texts, expect = [(d["doc_id"], code(d["text"])) for d in docs], []
+    for b in bench:
+        item = code(b["text"])
+        for doc_id, words in texts:
+            if runs(item) & runs(words):  # else there is no tile
+                tiles = plain(item, words, 5)
+                if (covered := sum(n for *_, n in tiles)) >= 0.8 * len(item):
+                    expect.append((doc_id, b["item_id"], len(tiles), covered, len(item)))
+    assert expect and sorted(tuple(r)[:5] for r in op6_benchmark_tiling(spark, SF).collect()) == sorted(expect)
 
 
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):

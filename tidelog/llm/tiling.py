@@ -11,8 +11,11 @@ by an item if tiles cover at least ``COVERAGE`` of the item's words.
 Candidates: an item and a document meet where they share a hashed run of ``SEED``
 words.
 
-Defined results: items of fewer than ``SEED`` words (null and empty ones too) match
-nothing, nor do documents without words; repeated ids give a row for each row of documents and of
+Ties between matches of one length go to the first in the item, then in the document.
+
+Defined results: an item of fewer than ``SEED`` words is held by the documents that hold
+its words as one run; items without words (null, empty) match nothing, nor do documents
+without words; repeated ids give a row for each row of documents and of
 items; extra columns are ignored; either table empty gives an empty result.
 
 Scale: documents are scanned, not shuffled. Item seeds are taken in blocks of bounded
@@ -24,7 +27,7 @@ compares only with items whose seeds could cover enough of them.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -102,7 +105,7 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int
         at_d, h_d = _runs(hd, pd, free_d, length)
         order = np.argsort(h_i, kind="stable")
         lo, hi_ = np.searchsorted(h_i[order], h_d, "left"), np.searchsorted(h_i[order], h_d, "right")
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        found: list[tuple[int, int, int]] = []
         longest, end = 0, {}
         for k in np.flatnonzero(hi_ > lo).tolist():
             d = int(at_d[k])
@@ -114,24 +117,25 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int
                     n += 1
                 if n >= length:
                     end[d - i] = d + n
-                    found[n].append((i, d))
+                    found.append((-n, i, d))
                     longest = max(longest, n)
         if longest > 2 * length:  # very long matches: begin again with their length
             length = longest
             continue
-        for n in sorted(found, reverse=True):
-            for i, d in found[n]:
-                if free_i[i : i + n].all() and free_d[d : d + n].all():
-                    free_i[i : i + n] = free_d[d : d + n] = False
-                    tiles.append((i, d, n))
-                    continue
-                # partly covered by a longer tile: what is left of it is looked at again
-                left = free_i[i : i + n] & free_d[d : d + n]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], left.view(np.int8), [0]])))
-                for a, z in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                    if z - a >= length:
-                        free_i[i + a : i + z] = free_d[d + a : d + z] = False
-                        tiles.append((i + a, d + a, z - a))
+        heapify(found)
+        while found:
+            n, i, d = heappop(found)
+            n = -n
+            left = free_i[i : i + n] & free_d[d : d + n]
+            if left.all():
+                free_i[i : i + n] = free_d[d : d + n] = False
+                tiles.append((i, d, n))
+                continue
+            # partly covered by a longer tile: what is left of it waits for its own length
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], left.view(np.int8), [0]])))
+            for a, z in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if z - a >= length:
+                    heappush(found, (a - z, i + a, d + a))
         if length == least:
             return tiles
         length = max(least, length // 2)
@@ -150,10 +154,14 @@ class Items:
         keys = np.concatenate(h) if h else np.empty(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.who = keys[order], np.repeat(np.array(long, np.int64), [len(x) for x in h])[order]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words, then by hash of all of them
+        for k, c in enumerate(self.codes):
+            if 0 < len(c) < seed:
+                self.short.setdefault(len(c), {}).setdefault(int(rolled(c, len(c))[0]), []).append(k)
 
     def matches(self, codes: np.ndarray) -> list[tuple]:
         """(item_id, tiles, covered, item_words, coverage) of the items that a document holds."""
-        out, n = [], self.seed
+        out, n = self._whole(codes), self.seed
         h = rolled(codes, n)
         if not len(h) or not len(self.keys):
             return out
@@ -174,6 +182,16 @@ class Items:
                 out.append((self.ids[k], len(tiles), covered, len(self.codes[k]), share))
         return out
 
+    def _whole(self, codes: np.ndarray) -> list[tuple]:
+        """Items shorter than a seed whose words the document holds as one run."""
+        out = []
+        for n, items in sorted(self.short.items()):
+            h = rolled(codes, n)
+            for key in items.keys() & set(np.unique(h[np.isin(h, np.array(list(items), np.uint64))]).tolist()):
+                at = np.flatnonzero(h == np.uint64(key))[0]
+                out += [(self.ids[k], 1, n, n, 1.0) for k in items[key] if (codes[at : at + n] == self.codes[k]).all()]
+        return out
+
     def _candidates(self, seeds: np.ndarray) -> list[int]:
         """Items with enough different seeds in the document to reach the coverage."""
         a, z = np.searchsorted(self.keys, seeds, "left"), np.searchsorted(self.keys, seeds, "right")

@@ -72,13 +72,25 @@ def test_edits_are_located(spark):
     other = [*lines]
     other[17], other[40] = "Changed here.\n", "And here.\n"
     df = spark.createDataFrame([("".join(lines), "".join(other))], "a string, b string")
-    a, b = (merkle.fingerprint(merkle.leaves(F.col(c))) for c in "ab")
+    a, b = (merkle.fingerprint(merkle.branches(merkle.leaves(F.col(c)))) for c in "ab")
     r = df.select(a.alias("a"), b.alias("b")).select(merkle.located_edits(F.col("a"), F.col("b")).alias("d"), merkle.located_edits(F.col("a"), F.col("a")).alias("same"), "a", "b").first()
     assert r["d"] == [17, 40] and r["same"] == []
     shared = set(r["a"].split(":")[1].split(",")) & set(r["b"].split(":")[1].split(","))
     assert shared  # sections without an edit keep their node
 
 
+def test_likeness_is_that_of_the_paragraphs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    part = lambda f: set(f.split(":")[2].split(","))
+    for df in (docs, documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])):
+        r = sorted(merkle.edited_fingerprints(df).collect(), key=lambda x: -x["doc_id"])
+        for x, y in zip(r, [*r[1:], r[0]]):
+            for near, other in ((x["near_edited"], x["edited_fingerprint"]), (x["near_next"], y["fingerprint"])):
+                a, b = part(x["fingerprint"]), part(other)
+                same = x["fingerprint"].split(":")[0] == other.split(":")[0]
+                assert near == (1.0 if same else 2.0 * len(a & b) / (len(a) + len(b)))
+
+
 def test_plan_has_one_exchange_of_texts_and_no_python(spark):
     plan = op9_merkle_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

@@ -10,8 +10,9 @@ paragraph hashes its text; sections are given as ``hash/paragraphs``.
 
 Roots test equality. Where they differ, sections found in only one of two
 fingerprints hold the edits, and in them the paragraphs found in only one.
-Likeness is twice the number of different paragraphs that two fingerprints share over
-the different paragraphs of each; 1.0 for equal roots.
+Likeness is 1.0 for equal roots; else the tree is descended: sections that both have are
+shared as they are, the others are opened, and what of their paragraphs the other lacks
+is not shared. Twice the shared different paragraphs over those of each.
 
 Defined results: null and empty text have one empty paragraph; repeated ids keep one
 row each (neighbours by id, then text); rows with a null id come last; extra columns
@@ -64,25 +65,38 @@ def _hex(h: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 16, "0")
 
 
-def fingerprint(hashes: Column) -> Column:
-    """``root:section/paragraphs,...:paragraph,...`` from the paragraphs' hashes."""
+def branches(hashes: Column) -> Column:
+    """The sections, each ``section/paragraphs,paragraph,...``, from the paragraphs' hashes."""
     marked = F.transform(hashes, lambda h, i: F.when((F.pmod(h, F.lit(SECTION)) == 0) | (i == F.size(hashes) - 1), i + 1))
 
     def nodes(ends: Column) -> Column:
         def node(end: Column, k: Column) -> Column:
             start = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
-            return _let(start, lambda a: F.concat_ws("/", _hex(F.xxhash64(F.slice(hashes, a + 1, end - a))), (end - a).cast("string")))
+            named = lambda part: F.concat(_hex(F.xxhash64(part)), F.lit("/"), F.size(part).cast("string"))
+            return _let(F.slice(hashes, start + 1, end - start), lambda part: F.concat_ws(",", named(part), F.transform(part, _hex)))
 
         return F.transform(ends, node)
 
-    sections = F.concat_ws(",", _let(F.filter(marked, lambda i: i.isNotNull()), nodes))
-    return _let(sections, lambda s: F.concat_ws(":", F.substring(F.sha2(s, 256), 1, 32), s, F.concat_ws(",", F.transform(hashes, _hex))))
+    return _let(F.filter(marked, lambda i: i.isNotNull()), nodes)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Twice the different paragraphs that both have over those of each: 0 to 1."""
-    total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return 2.0 * F.size(F.array_intersect(a, b)) / total
+def fingerprint(tree: Column) -> Column:
+    """``root:section/paragraphs,...:paragraph,...`` from the branches."""
+    sections = F.concat_ws(",", F.transform(tree, lambda s: F.substring_index(s, ",", 1)))
+    below = F.concat_ws(",", F.transform(tree, lambda s: F.substr(s, F.instr(s, ",") + 1)))
+    return _let(sections, lambda s: F.concat_ws(":", F.substring(F.sha2(s, 256), 1, 32), s, below))
+
+
+def opened(tree: Column) -> Column:
+    """The paragraphs of some branches, in order."""
+    return F.flatten(F.transform(tree, lambda s: F.split(F.substr(s, F.instr(s, ",") + 1), ",", -1)))
+
+
+def likeness(a: Column, b: Column, same_root: Column) -> Column:
+    """Likeness of two trees (branches): only branches that the other lacks are opened."""
+    theirs, of = opened(b), lambda t: F.size(F.array_distinct(opened(t)))
+    both = lambda n: 2.0 * (n - F.size(F.array_except(opened(F.array_except(a, b)), theirs))) / (n + of(b))
+    return F.when(same_root, F.lit(1.0)).otherwise(_let(of(a), both))
 
 
 def located_edits(a: Column, b: Column) -> Column:
@@ -128,13 +142,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.substring(F.col("next"), F.lit(1), half))
     pairs = with_next(docs).withColumn("next", F.coalesce("next", F.lit(""))).withColumn("edited", edited)
-    hashed = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), leaves(F.col("text")).alias("h"), leaves(F.col("edited")).alias("e"), leaves(F.col("next")).alias("x"))
-    return hashed.select(
+    trees = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[branches(leaves(F.col(c))).alias(t) for c, t in (("text", "h"), ("edited", "e"), ("next", "x"))])
+    rooted = trees.select("*", *[fingerprint(F.col(c)).alias(f"{c}_print") for c in "hex"])
+    same = lambda c: F.substring_index("h_print", ":", 1) == F.substring_index(f"{c}_print", ":", 1)
+    return rooted.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("h")).alias("fingerprint"),
-        fingerprint(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("h"), F.col("e")).alias("near_edited"),
-        likeness(F.col("h"), F.col("x")).alias("near_next"),
+        F.col("h_print").alias("fingerprint"),
+        F.col("e_print").alias("edited_fingerprint"),
+        likeness(F.col("h"), F.col("e"), same("e")).alias("near_edited"),
+        likeness(F.col("h"), F.col("x"), same("x")).alias("near_next"),
     )

@@ -30,7 +30,35 @@ def test_similar_runs_merge_to_target_sized_files(spark, tmp_path):
     assert max(s.bytes for s in merged) < 3 * 150_000
     assert sorted(map(str, store.read(last).collect())) == sorted(map(str, docs.collect()))
     assert store.read(first).count() == 200  # the old version reads until it is vacuumed
-    assert store.vacuum() > 0 and store.read().count() == 200
+    assert store.vacuum() == 0 and store.vacuum(0, keep=last) == 0 and store.read(first).count() == 200
+    assert store.vacuum(0) > 0 and store.read().count() == 200
+
+
+def test_shards_grow_with_the_arrival_up_to_the_target(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    total = docs.selectExpr("sum(octet_length(text))").first()[0]
+    monkeypatch.setattr(shards, "TIER_0", 20_000)
+    store = shards.ShardStore(spark, f"{tmp_path}/s")
+    assert 200 * 20_000 / total * 0.5 < store._rows_per_shard(docs) <= 200 * 20_000 / total
+    monkeypatch.setattr(shards, "PIECES", 4)  # larger than the least: a fourth of the arrival each
+    assert store._rows_per_shard(docs) == 50
+    assert shards.ShardStore(spark, f"{tmp_path}/t", target=1)._rows_per_shard(docs) == 1
+    assert store._rows_per_shard(docs.limit(0)) >= 1
+
+
+def test_vacuum_spares_what_is_about_to_be_published(spark, tmp_path):
+    docs = documents(spark)
+    store = shards.ShardStore(spark, f"{tmp_path}/s", shard_rows=5)
+    store.append(docs)
+    written = store._write(docs, 5)
+    assert store.vacuum() == 0
+    store._publish(written, set())
+    assert store.read().count() == 2 * docs.count()
+    written = store._write(docs, 5)
+    assert store.vacuum(0) == len(written)
+    with pytest.raises(shards.Conflict):
+        store._publish(written, set())
+    assert store.read().count() == 2 * docs.count()
 
 
 def test_arrivals_add_up(spark, tmp_path):

@@ -57,11 +57,60 @@ def test_counts_do_not_depend_on_the_batch():
 
 
 def test_long_texts_are_counted_whole(monkeypatch):
-    text = "the quick brown fox " * 200
-    whole = langid.counts([text])
-    monkeypatch.setattr(langid, "PIECE", 777)
-    pieces = langid.counts([text])
-    assert abs(whole - pieces).sum() <= 4 * (len(text) // 777 + 1)
+    texts = ["the quick brown fox " * 200, "ΟΔΥΣΣΕΥΣ İstanbul ß " * 90, "x" * 3000, "1 2 " * 500, " a" * 900]
+    whole = langid.counts(texts)
+    for piece in (1, 2, 3, 777, 4000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (langid.counts(texts) == whole).all()
+        assert all((langid.counts([t])[0] == w).all() for t, w in zip(texts, whole))
+
+
+def test_counts_equal_a_plain_count():
+    for text in ("Hello, big world", "ab  cd e", "ΟΔΟΣ", "x"):
+        c = [x if x.isalpha() else " " for x in " " + text.lower() + "  "]
+        grams = [(c[i], c[i + 1]) for i in range(len(c) - 2) if c[i : i + 2] != [" ", " "]]
+        threes = [i for i in range(len(c) - 2) if c[i + 1] != " "]
+        assert langid.counts([text])[0].sum() == len(grams) + len(threes)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """The sample is bounded by rows, and rows without an id are learned from."""
+    made = [(None if i % 2 else 7, f"{'the of and' if lang == 'en' else 'der die und'} {i} words{i}", lang) for i in range(600) for lang in ("en", "de")]
+    made += [(7, "the same row again and again", "en")] * 500
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+    plain = langid._cluster_of
+
+    def counted(idf):
+        run = plain(idf)
+
+        def count(group):
+            seen.add(len(group))
+            return run(group)
+
+        return count
+
+    langid._cluster_of = counted
+    try:
+        model = langid.fit(docs, sample=50)
+    finally:
+        langid._cluster_of = plain
+    assert 60 <= seen.value <= 100  # at most 50 of each language
+    assert [g[0] for g in model.predict(["the and of words", "und der die words"])] == ["en", "de"]
+    alone = langid.fit(spark.createDataFrame([(7, "one single row, many times over", "en")] * 3000, "doc_id long, text string, lang string"), sample=5)
+    assert alone.langs == ["en"]
+
+
+def test_query_predicts_the_nearest_centroid(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.remainder("doc_id", 5) != 0))
+    got = {r["doc_id"]: r for r in op2_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        x = langid.weighted(langid.counts([r["text"]]), model.idf)[0]
+        near = [sum(float(a) * float(b) for a, b in zip(x[x > 0], c[x > 0])) for c in model.centroids]
+        best = max(near)
+        assert abs(got[r["doc_id"]]["score"] - best) < 1e-4
+        assert any(abs(n - best) < 1e-5 and lang == got[r["doc_id"]]["lang_pred"] for n, lang in zip(near, model.langs))
 
 
 def foreign_and_noise():

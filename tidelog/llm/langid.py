@@ -10,15 +10,15 @@ other half), with n-grams drawn from the held-out texts for every size, so that
 not hang on single odd texts or on the size of the input.
 
 Learning: document frequencies count every training document. The centroids are
-fitted on a bounded sample, ``SAMPLE`` documents for each language, those whose ids
-hash lowest. Ids, sources and languages of a predicted document play no part.
+fitted on a bounded sample, ``SAMPLE`` different rows (id and text) for each language,
+those that hash lowest. Ids, sources and languages of a predicted document play no part.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and
 rejected; with nothing to learn from, every text is; ties go to the language that
 sorts first; repeated and null ids keep a row each (a null id counts as the empty text
 when its remainder is taken); extra columns are ignored; an empty table gives none.
 
-Scale: no shuffle of texts. Sampled ids (bounded) are broadcast, frequencies are one
+Scale: no shuffle of texts. Sampled rows' hashes (bounded) are broadcast, frequencies are one
 vector for each task, and each language is clustered by a task of its own.
 """
 
@@ -53,35 +53,34 @@ def counts(texts: list[str]) -> np.ndarray:
             _add(out[at : at + len(group)], group)
             group, at, size = [], i, 0
         if i < len(texts):
-            if len(t) > PIECE:  # pieces overlap so that every n-gram falls into one of them
-                for a in range(0, len(t), PIECE):
-                    _add(out[i : i + 1], [t[max(0, a - 2) : a + PIECE]], skip=2 if a else 0)
-                group, at = [], i + 1
-            else:
-                group.append(t)
-                size += len(t)
+            group.append(t)
+            size += len(t)
     return out
 
 
-def _add(out: np.ndarray, texts: list[str], skip: int = 0) -> None:
+def _add(out: np.ndarray, texts: list[str]) -> None:
+    """Adds the counts of some texts; n-grams are hashed for ``PIECE`` starts at a time."""
     if not texts:
         return
-    c = np.frombuffer((" " + " ".join(texts) + "  ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = [len(t.lower()) + 1 for t in texts] if len(texts) > 1 else [len(c) - 2]
-    c = np.where(_letters()[c], c, 32).astype(np.uint32)
-    space = c == 32
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    n = len(doc)
+    lower = [t.lower() for t in texts]
+    c = np.frombuffer((" " + " ".join(lower) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lower]) if len(texts) > 1 else None
+    for at in range(0, len(c) - 2, PIECE):
+        piece = c[at : at + PIECE + 2]
+        _hashed(out, np.where(_letters()[piece], piece, 32).astype(np.uint32), 0 if doc is None else doc[at : at + PIECE])
+
+
+def _hashed(out: np.ndarray, c: np.ndarray, doc: np.ndarray | int) -> None:
+    """Adds the n-grams that start at all but the last two of some letters and spaces."""
+    n, space = len(c) - 2, c == 32
     a, b, d = c[:n], c[1 : n + 1], c[2 : n + 2]
     two = ~(space[:n] & space[1 : n + 1])
     three = ~space[1 : n + 1] & two
-    if skip:
-        two[: skip + 1] = three[:skip] = False
     h2 = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(8)
     h3 = ((a * np.uint32(0x27D4EB2F)) ^ (b * np.uint32(0x165667B1)) ^ (d * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA77) >> np.uint32(8)
     base = doc * DIMS
     where = np.concatenate([(base + h2 % BIGRAMS)[two], (base + BIGRAMS + h3 % TRIGRAMS)[three]])
-    out += np.bincount(where, minlength=len(texts) * DIMS).reshape(len(texts), DIMS)
+    out += np.bincount(where, minlength=out.size).reshape(out.shape)
 
 
 def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -163,8 +162,8 @@ def _vectors(batches):
         keep = np.flatnonzero(tf.any(1))
         sparse = [(np.flatnonzero(tf[i]).astype(np.int32), tf[i][tf[i] > 0]) for i in keep]
         yield pa.RecordBatch.from_arrays(
-            [b.column("lang").take(pa.array(keep)), pa.array([d.tobytes() for d, _ in sparse], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in sparse], pa.binary())],
-            names=["lang", "dims", "tf"],
+            [b.column("lang").take(pa.array(keep)), b.column("h").take(pa.array(keep)), pa.array([d.tobytes() for d, _ in sparse], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in sparse], pa.binary())],
+            names=["lang", "h", "dims", "tf"],
         )
 
 
@@ -207,21 +206,21 @@ class Model:
 
 def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from columns doc_id, text and lang (neither null)."""
-    usable = training.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    usable = training.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     df = usable.select("text").mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(DIMS + 1, np.int64)
     for r in df:
         n[r["dim"]] = r["n"]
     idf = np.log((1 + n[-1]) / (1 + n[:-1])).astype(np.float32) + np.float32(1)
-    # about four times the sample by hash first, so that ranking reads no more, however many documents there are
-    share = usable.groupBy("lang").agg((F.lit(4.0 * sample) / F.count(F.lit(1))).alias("share"))
-    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(share), "lang")  # a row for each language, as the model has
+    # about four times the sample by hash first, so that ranking reads no more, however many documents there are;
+    # equal rows count once, in the shares too
+    share = usable.groupBy("lang").agg((F.lit(4.0 * sample) / F.approx_count_distinct("h")).alias("share"))
+    hashed = usable.select("h", "lang").join(F.broadcast(share), "lang")  # a row for each language, as the model has
     thinned = hashed.where((F.col("share") >= 0.5) | (F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = thinned.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-    chosen = F.broadcast(ids.select("doc_id", "lang").distinct())  # at most `sample` ids for each language
-    vectors = usable.join(chosen, ["doc_id", "lang"]).select("text", "lang").mapInArrow(_vectors, "lang string, dims binary, tf binary")
-    found = vectors.groupBy("lang").applyInPandas(_cluster_of(idf), "lang string, nth int, sizes array<double>, least array<double>, centroid binary").collect()
+    ranked = thinned.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = F.broadcast(ranked.where(F.col("k") <= sample).select("lang", "h"))  # at most `sample` rows for each language
+    vectors = usable.join(chosen, ["lang", "h"]).select("text", "lang", "h").mapInArrow(_vectors, "lang string, h long, dims binary, tf binary")
+    found = vectors.dropDuplicates(["lang", "h"]).groupBy("lang").applyInPandas(_cluster_of(idf), "lang string, nth int, sizes array<double>, least array<double>, centroid binary").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["nth"]))
     centroids = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
     limits = [(np.array(r["sizes"]), np.array(r["least"])) for r in found]

@@ -67,6 +67,10 @@ def _hex(h: Column) -> Column:
 
 def branches(hashes: Column) -> Column:
     """The sections, each ``section/paragraphs,paragraph,...``, from the paragraphs' hashes."""
+    return _let(hashes, _branches)  # lambdas in it use them for each section
+
+
+def _branches(hashes: Column) -> Column:
     marked = F.transform(hashes, lambda h, i: F.when((F.pmod(h, F.lit(SECTION)) == 0) | (i == F.size(hashes) - 1), i + 1))
 
     def nodes(ends: Column) -> Column:

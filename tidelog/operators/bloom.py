@@ -38,6 +38,55 @@ def totals(sized: DataFrame, checks: DataFrame) -> DataFrame:
     )
 
 
+def positions(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """generation, key, word, mask: the bits that a table's filter has for a key, by words of
+    64 (a mask for each). Bit i is (h1 + i * h2) modulo the size, h1 and h2 two 52-bit parts of MD5."""
+    part = lambda at: F.conv(F.substring(F.md5(F.col("key").cast("binary")), at, 13), 16, 10).cast("long")
+    hashed = rows.where("key is not null").select("generation", "key", part(1).alias("h1"), part(14).alias("h2")).join(sized.select("generation", "bits", "hashes"), "generation")
+    bit = hashed.select("generation", "key", F.explode(F.expr("transform(sequence(0L, hashes - 1), i -> (h1 + i * h2) % bits)")).alias("bit"))
+    return bit.groupBy("generation", "key", F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
+
+
+def filters(entries: DataFrame, sized: DataFrame) -> DataFrame:
+    """generation, word, mask: the words of each table's filter that have a bit set."""
+    return positions(entries, sized).groupBy("generation", "word").agg(F.expr("bit_or(mask)").alias("mask"))
+
+
+def may_contain(words: DataFrame, asked: DataFrame, sized: DataFrame) -> DataFrame:
+    """generation, key, may_contain for each different pair that is asked: false is certain.
+    Keys meet words of their own table only, spread over (generation, word)."""
+    needed = positions(asked.select("generation", "key").distinct(), sized)
+    has = F.coalesce(F.col("mask").bitwiseAND(F.col("held")) == F.col("mask"), F.lit(False))
+    held = needed.join(words.withColumnRenamed("mask", "held"), ["generation", "word"], "left")
+    return held.groupBy("generation", "key").agg(F.bool_and(has).alias("may_contain"))
+
+
+def false_positives(answers: DataFrame, entries: DataFrame) -> DataFrame:
+    """generation, checks, negatives, false_positives of answers from :func:`may_contain`."""
+    there = entries.select("generation", "key").distinct().withColumn("there", F.lit(True))
+    return answers.join(there, ["generation", "key"], "left").groupBy("generation").agg(
+        F.count(F.lit(1)).alias("checks"),
+        F.count_if(~F.col("may_contain")).alias("negatives"),
+        F.count_if(F.col("may_contain") & F.col("there").isNull()).alias("false_positives"),
+    )
+
+
+def refused(table: DataFrame) -> DataFrame:
+    """key, fault of what a table may not hold: NO_KEY, BAD_SEQUENCE (null or below 1), DUPLICATE
+    (of a key, once); one EMPTY row without a key if the table has no rows."""
+    by = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("seq", F.lit(0))).alias("least"))
+    fault = F.when(F.col("key").isNull(), "NO_KEY").when(F.col("least") < 1, "BAD_SEQUENCE").when(F.col("n") > 1, "DUPLICATE")
+    empty = table.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("key"), F.lit("EMPTY").alias("fault"))
+    return by.select("key", fault.alias("fault")).where("fault is not null").unionByName(empty)
+
+
+def write_checked(table: DataFrame, path: str, files: int | None = None) -> None:
+    """:func:`write_sorted` of key, value, seq, deleted rows, refused if any breaks a table's rules."""
+    if bad := refused(table).first():
+        raise ValueError(f"{bad['fault']}: {bad['key']!r}")
+    write_sorted(table, path, files)
+
+
 def write_sorted(table: DataFrame, path: str, files: int | None = None, block_bytes: int = 32 << 20) -> None:
     """Range-partitioned, sorted Parquet with a Bloom filter on the key: point reads skip
     files and row groups by statistics, and most of the rest by the filter."""

@@ -14,6 +14,21 @@ def quorum(nodes: Column) -> Column:
     return (F.floor(nodes / 2) + 1).cast("long")
 
 
+def submit_status(requests: DataFrame) -> DataFrame:
+    """Adds ``status`` to rows (code, role, timeout_ms, index, entry_term | current_term, commit_index):
+    what a client is told of its command, from its validity, the leader's role when it came and
+    the state at its deadline. A null role, timeout, term or commit index decides nothing."""
+    status = (
+        F.when(F.col("timeout_ms") <= 0, "TIMEOUT")
+        .when(F.col("code") != "OK", "INVALID_COMMAND")
+        .when(F.col("role") != "LEADER", "NOT_LEADER")
+        .when(F.col("commit_index") >= F.col("index"), "COMMITTED")
+        .when(F.col("current_term") != F.col("entry_term"), "NOT_LEADER")
+        .otherwise("TIMEOUT")
+    )
+    return requests.withColumn("status", status)
+
+
 def vote_grants(requests: DataFrame) -> DataFrame:
     """Adds ``granted`` to rows (term, candidate, last_term, last_index | own_term, voted_for,
     own_last_term, own_last_index): not a stale term, no other vote in it, a log as new."""

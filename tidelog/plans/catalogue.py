@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import batches, bloom, log, metrics, replication, state, tables
 from ..sources.logs import events_log, orders_log, table
+from ..sources.replicas import ReplicaStorage
 from ..sources.wal import encoded
 from ..streaming import state as streaming
 from . import inputs
@@ -251,6 +253,30 @@ def bloom_totals(spark, d):
     return bloom.totals(bloom.sizing(tables.catalogue(l0)), tables.bloom_checks(tables.catalogue(l0), l0, inputs.probes(spark, d)))
 
 
+@query
+def bloom_may_contain(spark, d):
+    """Each table's filter asked for the keys of the table before it."""
+    l0 = inputs.stored_level0(spark, d)
+    sized = bloom.sizing(tables.catalogue(l0))
+    asked = l0.select((F.col("generation") + 1).alias("generation"), "key")
+    return bloom.may_contain(bloom.filters(l0, sized), asked, sized)
+
+
+@query
+def bloom_false_positives(spark, d):
+    """Small filters asked for the keys of the table before, so that some answers are false."""
+    l0 = inputs.stored_level0(spark, d)
+    sized = bloom.sizing(tables.catalogue(l0), 0.3)
+    asked = l0.select((F.col("generation") + 1).alias("generation"), "key")
+    return bloom.false_positives(bloom.may_contain(bloom.filters(l0, sized), asked, sized), l0)
+
+
+@query
+def table_write_faults(spark, d):
+    """What the log itself, which repeats keys, breaks of a table's rules."""
+    return bloom.refused(inputs.entries(spark, d).withColumn("seq", F.col("seq") - 1))
+
+
 @query
 def cache_ratio(spark, d):
     by = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("hits"), F.count_if(F.col("event_type") == "click").alias("misses"))
@@ -338,6 +364,17 @@ def stale_compaction_inputs(spark, d):
 
 
 # replication ------------------------------------------------------------------
+@query
+def submit_status(spark, d):
+    """A follower's entries submitted again, against the leader's term and a commit index at four fifths."""
+    i, n = F.col("index"), inputs.log_length(spark, d)
+    sent = inputs.follower_log(spark, d).withColumn("code", F.when(i % 11 == 0, rules.command_code("type", F.lit(""), "value")).otherwise(rules.command_code("type", "key", "value")))
+    sent = sent.withColumn("role", F.when(i % 13 == 0, "FOLLOWER").otherwise("LEADER")).withColumn("timeout_ms", (i % 17).cast("long"))
+    now = inputs.leader_log(spark, d).select("index", F.col("term").alias("current_term"))
+    told = replication.submit_status(sent.withColumnRenamed("term", "entry_term").join(now, "index").withColumn("commit_index", F.lit(n * 4 // 5).cast("long")))
+    return told.select("index", "type", "status")
+
+
 @query
 def vote_grant(spark, d):
     return replication.vote_grants(inputs.vote_requests(spark, d)).select("voter", "term", "candidate", "granted")
@@ -407,6 +444,28 @@ def snapshot_create(spark, d):
     return replication.snapshot(inputs.leader_log(spark, d), inputs.log_length(spark, d) // 2)
 
 
+def _replica(spark, d) -> ReplicaStorage:
+    return ReplicaStorage(spark, f"{inputs.scratch(spark)}/replica-{uuid.uuid4().hex[:12]}")
+
+
+@query
+def replica_log(spark, d):
+    """A follower's stored log, replaced by the repaired one and loaded again."""
+    stored = _replica(spark, d)
+    stored.replace_log(inputs.follower_log(spark, d))
+    stored.replace_log(replication.repaired(stored.log(), inputs.leader_log(spark, d).drop("node")))
+    return stored.log()
+
+
+@query
+def replica_snapshot(spark, d):
+    """A snapshot at half of the log, stored and loaded again."""
+    stored, log, at = _replica(spark, d), inputs.leader_log(spark, d), inputs.log_length(spark, d) // 2
+    stored.save_snapshot(at, replication.term_at(log, at).first()["term"], replication.state_at(log, at))
+    index, term, rows = stored.snapshot()
+    return rows.select("last_included_index", "last_included_term", "key", "value")
+
+
 @query
 def recover_from_snapshot(spark, d):
     l, n = inputs.leader_log(spark, d), inputs.log_length(spark, d)  # noqa: E741
@@ -471,8 +530,6 @@ def status_row(spark, d):
 @query
 def stream_state(spark, d):
     """The event log as a stream, flushed in micro-batches and read back: live keys."""
-    import uuid
-
     root = f"{inputs.scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
     events_log(spark, d).write.parquet(f"{root}/log")
     q = streaming.flush_batches(streaming.read_stream(spark, f"{root}/log", 1), f"{root}/tables", f"{root}/checkpoint")

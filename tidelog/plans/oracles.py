@@ -24,6 +24,17 @@ LEVEL1 = """,
 l1 as (select cast(floor(cast(substr(key, 6, 1) as bigint) / 2.0) as bigint) as generation, key, value, seq, deleted
   from (select *, row_number() over (partition by key order by seq desc) as r from l0 where generation <= (select max(generation) from l0) - 4) where r = 1 and not deleted),
 cat1 as (select generation, count(*) as n, min(key) as smallest_key, max(key) as largest_key from l1 group by generation)"""
+def asked(p: float) -> str:
+    """Filters of a false-positive rate and their answers for the keys of the table before."""
+    return f""",
+sized as (select generation, cast(ceil(m / 64.0) * 64 as bigint) as bits, cast(least(greatest(round(m / entry_count * ln(2)), 1), 32) as bigint) as hashes
+  from (select *, greatest(ceil(-entry_count * ln({p}) / (ln(2) * ln(2))), 64) as m from cat)),
+h as (select generation, key, cast('0x' || substr(md5(key), 1, 13) as bigint) as h1, cast('0x' || substr(md5(key), 14, 13) as bigint) as h2 from l0),
+bit as (select distinct sized.generation, (h1 + i * h2) % bits as b from h join sized using (generation), range(32) as r(i) where i < hashes),
+need as (select distinct sized.generation, key, (h1 + i * h2) % bits as b from h join sized on sized.generation = h.generation + 1, range(32) as r(i) where i < hashes),
+answer as (select need.generation, need.key, bool_and(bit.b is not null) as may_contain from need left join bit on bit.generation = need.generation and bit.b = need.b group by need.generation, need.key)"""
+
+
 PICK = """,
 pick as (select generation, path from cat order by max_seq, generation limit 4)"""
 
@@ -144,6 +155,11 @@ from cat left join probes on probes.key between smallest_key and largest_key gro
     "bloom_totals": WITH(L0) + """select count(*) as filters, cast(sum(entry_count) as bigint) as keys, cast(sum(ceil(greatest(ceil(-entry_count * ln(0.01) / (ln(2) * ln(2))), 64) / 64.0) * 8) as bigint) as bytes,
   cast((select count(*) from cat c join probes p on p.key between c.smallest_key and c.largest_key) as bigint) as checks,
   cast((select count(*) from cat c join probes p on p.key between c.smallest_key and c.largest_key where not exists (select 1 from l0 where l0.generation = c.generation and l0.key = p.key)) as bigint) as negatives from cat""",
+    "bloom_may_contain": WITH(L0 + asked(0.01)) + "select * from answer",
+    "bloom_false_positives": WITH(L0 + asked(0.3)) + """select generation, count(*) as checks, count(*) filter (not may_contain) as negatives,
+  count(*) filter (may_contain and not exists (select 1 from l0 where l0.generation = answer.generation and l0.key = answer.key)) as false_positives from answer group by generation""",
+    "table_write_faults": WITH(LOG) + """select key, case when min(seq) - 1 < 1 then 'BAD_SEQUENCE' else 'DUPLICATE' end as fault from ent group by key having count(*) > 1 or min(seq) < 2
+union all select null, 'EMPTY' where not exists (select 1 from ent)""",
     "cache_ratio": """select user_id, hits, misses, case when hits + misses = 0 then 0.0 else cast(hits as double) / (hits + misses) end as ratio
 from (select user_id, count(*) filter (event_type = 'view') as hits, count(*) filter (event_type = 'click') as misses from events group by user_id)""",
     "l0_select": WITH(L0) + "select generation, max_seq from cat order by max_seq, generation limit 4",
@@ -181,6 +197,13 @@ select conflict_term, cast(greatest(coalesce((select max(index) + 1 from follow
 select cast(i.index as bigint) as index, case when i.index = 0 then 0 when i.index = 100 then 1 when i.index > 100 then l.term end as term from i left join lead_log l on i.index = l.index""",
     "apply_committed": WITH(RAFT) + "select key, value from " + state_sql("(select n * 3 // 4 from n)"),
     "snapshot_create": WITH(RAFT) + "select (select n // 2 from n) as last_included_index, (select term from lead_log, n where index = n // 2) as last_included_term, key, value from " + state_sql("(select n // 2 from n)"),
+    "submit_status": WITH(RAFT) + """select follow.index, follow.type, case when follow.index % 17 = 0 then 'TIMEOUT' when follow.index % 11 = 0 and follow.type <> 'NOOP' then 'INVALID_COMMAND'
+  when follow.type = 'DELETE' and follow.value <> '' then 'INVALID_COMMAND' when follow.index % 13 = 0 then 'NOT_LEADER' when follow.index <= n * 4 // 5 then 'COMMITTED'
+  when follow.term <> lead_log.term then 'NOT_LEADER' else 'TIMEOUT' end as status from follow join lead_log using (index), n""",
+    "replica_log": WITH(RAFT) + """, c as (select min(f.index) as c from follow f join lead_log l on f.index = l.index where f.term <> l.term),
+kept as (select follow.* from follow, c where c is null or index < c)
+select index, term, type, key, value from kept union all select index, term, type, key, value from lead_log where index not in (select index from kept)""",
+    "replica_snapshot": WITH(RAFT) + "select (select n // 2 from n) as last_included_index, (select term from lead_log, n where index = n // 2) as last_included_term, key, value from " + state_sql("(select n // 2 from n)"),
     "recover_from_snapshot": WITH(RAFT) + "select key, value from " + state_sql("(select n * 3 // 4 from n)"),
     "snapshot_install": WITH(RAFT) + "select index, term from lead_log, n where index > n // 2",
     "counters": "select event_type as name, cast(sum(cast(value as decimal(20,6))) as double) as value from events group by event_type",

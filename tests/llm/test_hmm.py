@@ -119,3 +119,31 @@ def test_training_does_not_lower_the_likelihood():
     likelihood = [hmm.begin(texts, shares, 2, k).counts(texts)[3] for k in (0, 5, 30)]
     single = sum(np.log(shares[t]).sum() for t in texts)
     assert likelihood[0] <= likelihood[1] + 1 and likelihood[1] <= likelihood[2] + 1 and likelihood[2] > single
+
+
+def test_states_are_learned_from_every_training_text(spark):
+    r = np.random.default_rng(3)
+    ids = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    # all that tells the states apart is in a few texts of more than 4,096 tokens
+    long = [(i, " ".join(f"{'ab'[k % 2]}{x}" for x in r.integers(0, 30, 5000))) for k, i in enumerate(ids[:12])]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    tests = [(i, " ".join(f"{c}{x}" for x in r.integers(0, 30, 500))) for i, c in zip(held, "ab")]
+    short = [(i, f"c{x} c{y}") for i, x, y in zip(ids[12:6012], r.integers(0, 30, 6000), r.integers(0, 30, 6000))]
+    docs = spark.createDataFrame(long + tests + short, "doc_id long, text string").repartition(4)
+    found = hmm.score(docs, states=3).where("held_out").collect()
+    assert len(found) == 2
+    # by single words a token of these texts is half as likely as by its own state
+    assert all(x["score"] - x["base_score"] > 0.25 * x["n_tokens"] for x in found), [(x["score"] - x["base_score"]) / x["n_tokens"] for x in found]
+
+
+def test_rounds_go_on_until_the_likelihood_settles(spark, monkeypatch):
+    models, estimated = [], hmm.Hmm.estimated
+    monkeypatch.setattr(hmm.Hmm, "estimated", lambda *a: models.append(estimated(*a)) or models[-1])
+    rows = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    hmm.score(spark.read.parquet(f"{SF}/documents.parquet"), states=4)
+    c = Counter(w for t in rows for w in [*hmm.words_of(t), hmm.END])
+    top = sorted(((w, n) for w, n in c.items() if w != hmm.END), key=lambda x: (-x[1], x[0]))[: hmm.FREQUENT]
+    symbols = hmm.Symbols([hmm.END, *(w for w, _ in top)])
+    texts = [symbols.encode(t)[0].astype(np.int64) for t in rows]
+    before, after = (models[k].counts(texts)[3] / sum(map(len, texts)) for k in (-2, -1))
+    assert abs(after - before) < hmm.SETTLED

@@ -8,8 +8,10 @@ half-count), whatever the state, so the model gives every text a
 probability and the recursion needs a bounded table only.
 
 Training is Baum-Welch: expected counts of every training document (in stretches of
-``STRETCH`` tokens) are summed over partitions and re-estimated ``ROUNDS`` times, from
-a start found by the same steps on ``SAMPLE`` documents (a bound on the start only).
+``STRETCH`` tokens) are summed over partitions and re-estimated until a round gains less
+than ``SETTLED`` a token (``ROUNDS`` at most). The start is learned from every training
+document too: each stretch is the sum of its symbols' random vectors, each symbol the
+mean of the stretches it stands in, and the symbols are clustered into the states.
 Scoring is the scaled forward recursion over whole texts, many texts side by side; a
 long text is cut, each piece is run from every state, and the pieces are multiplied,
 which is exact.
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .store import Workspace, remainder, rows
 
-STATES, FREQUENT, ENDINGS, STRETCH, ROUNDS = 8, 16_384, 256, 64, 3
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 2000, 4096, 25
+STATES, FREQUENT, ENDINGS, STRETCH, ROUNDS = 8, 16_384, 256, 64, 30
+SETTLED = 0.005  # natural log likelihood a token
+AXES, STEADY, OWN = 16, 20, 0.8  # of the start: axes of a context, occurrences that count as none, share of a symbol in its own state
 #: Texts longer than LONG tokens are cut into pieces of PIECE tokens.
 LONG, PIECE = 2048, 512
 PRIOR = 200.0  # words of smoothing that a state takes from all words
@@ -215,14 +218,49 @@ class Hmm:
         return out
 
 
-def begin(texts: list[np.ndarray], shares: np.ndarray, states: int = STATES, rounds: int = SAMPLE_ROUNDS) -> Hmm:
-    """A start from some documents: each dealt to a state, then Baum-Welch on them."""
-    rng = np.random.default_rng(7)
-    emit = np.zeros((len(shares), states))
-    for t in texts:
-        emit[:, rng.integers(states)] += np.bincount(t, minlength=len(shares))
-    blank = Hmm(np.ones(states), np.eye(states), emit)
-    model = blank.estimated(np.ones(states), np.eye(states) * 30 + 1, emit, shares)
+def contexts(texts: list[np.ndarray], symbols: int, axes: int = AXES) -> np.ndarray:
+    """Of each symbol, the sum of the directions of the stretches it stands in."""
+    vectors = np.random.default_rng(7).standard_normal((symbols, axes)).astype(np.float32)
+    out = np.zeros((symbols, axes))
+    cut = [t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)]
+    for at in range(0, len(cut), 4096):
+        n = np.array([len(x) for x in cut[at : at + 4096]])
+        seen = np.concatenate(cut[at : at + 4096])
+        sums = np.add.reduceat(vectors[seen], np.cumsum(n) - n, axis=0)
+        sums /= np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9
+        for j in range(axes):
+            out[:, j] += np.bincount(seen, np.repeat(sums[:, j], n), symbols)
+    return out
+
+
+def clusters(points: np.ndarray, weights: np.ndarray, most: int, steps: int = 30) -> np.ndarray:
+    """Weighted k-means, seeded at random by distance: the cluster of each point."""
+    rng = np.random.default_rng(0)
+    centres = points[rng.choice(len(points), 1, p=weights / weights.sum())]
+    distances = lambda: np.stack([((points - c) ** 2).sum(1) for c in centres], 1)
+    while len(centres) < most and (far := distances().min(1) * weights).sum() > 0:
+        centres = np.concatenate([centres, points[rng.choice(len(points), 1, p=far / far.sum())]])
+    for _ in range(steps):
+        of = distances().argmin(1)
+        for k in np.unique(of):
+            centres[k] = np.average(points[of == k], axis=0, weights=weights[of == k])
+    return of
+
+
+def start_of(context: np.ndarray, shares: np.ndarray, tokens: int, states: int = STATES) -> Hmm:
+    """The model whose states are the clusters of the symbols' contexts."""
+    seen = shares * max(1, tokens)
+    points = context / (seen[:, None] + STEADY)
+    points -= np.average(points, axis=0, weights=seen)
+    part = np.full((len(shares), states), (1 - OWN) / states)
+    part[np.arange(len(shares)), clusters(points, seen, states)] += OWN
+    emit = part * seen[:, None]
+    return Hmm(np.ones(states), np.eye(states), emit).estimated(np.ones(states), np.eye(states) * 30 + 1, emit, shares)
+
+
+def begin(texts: list[np.ndarray], shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """The start from texts in memory, then rounds of Baum-Welch on them."""
+    model = start_of(contexts(texts, len(shares)), shares, sum(map(len, texts)), states)
     for _ in range(rounds if texts else 0):
         start, move, emit, _ = model.counts(texts)
         model = model.estimated(start, move, emit, shares)
@@ -233,20 +271,36 @@ def _arrays(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16).astype(np.int64) for x in column.to_pylist()]
 
 
+def _contexts(symbols: int):
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((symbols, AXES))
+        for big in batches:
+            for b in rows([big], 2048, 4_000_000, "symbols"):
+                total += contexts(_arrays(b.column("symbols")), symbols)
+        used = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(total[used, j]) for j in range(AXES))], names=["symbol", *(f"v{j}" for j in range(AXES))])
+
+    return run
+
+
 def _expected(model: Hmm):
+    """Rows by symbol; below zero: start (-1), a row of move for each state, the log likelihood (in v0)."""
     k = len(model.start)
 
     def run(batches):
         import pyarrow as pa
 
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+        start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), np.zeros((1, k))
         for big in batches:
             for b in rows([big], 2048, 4_000_000, "symbols"):
-                s, m, e, _ = model.counts(_arrays(b.column("symbols")))
+                s, m, e, likelihood = model.counts(_arrays(b.column("symbols")))
                 start, move, emit = start + s, move + m, emit + e
+                total[0, 0] += likelihood
         used = np.flatnonzero(emit.any(1))
-        values = np.concatenate([start[None, :], move, emit[used]])
-        names = np.concatenate([-1 - np.arange(k + 1), used])
+        values = np.concatenate([start[None, :], move, total, emit[used]])
+        names = np.concatenate([-1 - np.arange(k + 2), used])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(values[:, j]) for j in range(k))], names=["symbol", *(f"v{j}" for j in range(k))])
 
     return run
@@ -289,6 +343,38 @@ def _commonest(words: DataFrame, most: int) -> list:
     return words.where(F.col("n") >= (1 << least)).repartition(8).orderBy(F.desc("n"), "word").limit(most).collect()
 
 
+def _summed(training: DataFrame, function, width: int) -> list:
+    """A function's rows, added up by symbol: as many as there are symbols, and a few more."""
+    columns = [f"v{j}" for j in range(width)]
+    found = training.mapInArrow(function, "symbol long, " + ", ".join(f"{c} double" for c in columns))
+    return [(r["symbol"], [r[c] for c in columns]) for r in found.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).collect()]
+
+
+def _trained(training: DataFrame, shares: np.ndarray, tokens: int, states: int, rounds: int) -> Hmm:
+    """Start and Baum-Welch rounds, each over all the training texts' symbols."""
+    size = len(shares)
+    context = np.zeros((size, AXES))
+    for s, v in _summed(training, _contexts(size), AXES):
+        context[s] = v
+    model, last = start_of(context, shares, tokens, states), -np.inf
+    for _ in range(rounds):
+        start, move, emit, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
+        for s, v in _summed(training, _expected(model), states):
+            if s >= 0:
+                emit[s] = v
+            elif s == -1:
+                start[:] = v
+            elif s >= -1 - states:
+                move[-2 - s] = v
+            else:
+                likelihood = v[0]
+        model = model.estimated(start, move, emit, shares)
+        if likelihood - last < SETTLED * tokens or not tokens:
+            break
+        last = likelihood
+    return model
+
+
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if frequent + ENDINGS + 1 > 1 << 16:
@@ -315,27 +401,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent:
     shares /= shares.sum()
 
     encoded = ws.stage(texts.mapInArrow(_encoded(symbols), f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, symbols binary, rest array<binary>, times array<long>"), "encoded", "zstd")
-    training = encoded.where(~F.col("held_out")).select("symbols", "n_tokens", "doc_id")
-    # thinned by hash first, so that the driver gets about four times the sample at most, from however many tasks
-    h, share = F.xxhash64("doc_id"), 4 * SAMPLE / max(1, ends[0]["n"] if ends else 1)
-    thinned = training.where(F.col("n_tokens") <= SAMPLE_TOKENS).where(F.pmod(h, F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    first = thinned.orderBy(h, "doc_id").select("symbols").limit(SAMPLE)
-    model = begin([np.frombuffer(r["symbols"], np.uint16).astype(np.int64) for r in first.collect()], shares, states)
-    columns = [f"v{j}" for j in range(states)]
-    schema = "symbol long, " + ", ".join(f"{c} double" for c in columns)
-    for _ in range(rounds):
-        summed = training.select("symbols").mapInArrow(_expected(model), schema).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).collect()
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols.size, states))
-        for r in summed:  # symbols + states + 1 rows
-            s, v = r["symbol"], [r[c] for c in columns]
-            if s >= 0:
-                emit[s] = v
-            elif s == -1:
-                start[:] = v
-            else:
-                move[-2 - s] = v
-        model = model.estimated(start, move, emit, shares)
-
+    training = encoded.where(~F.col("held_out")).select("symbols")
+    model = _trained(training, shares, int(total["n"]), states, rounds)
     scorer = _scored(model, np.log10(own), np.log10(classes), symbols.known)
     scored = encoded.select("rid", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(
         scorer, f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, own long, base double, model double"

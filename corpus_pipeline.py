@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the kept documents with their sequences."""
-    return packing.pack(docs, public_path("word_bpe_49k.json"))
+    return packing.pack(docs, public_path("word_bpe_49k.json"), lasting=False)
 
 
 STAGES = [

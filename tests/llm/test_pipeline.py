@@ -47,3 +47,23 @@ def test_odd_and_empty_documents(spark):
             out = stage(spark, docs, SF)
             assert name == "packing" or out.columns == docs.columns
             out.count()
+
+
+def test_no_worker_keeps_a_tokenizer_after_the_stages(spark):
+    def held(batches):
+        import os
+        import time
+
+        import pyarrow as pa
+
+        from tidelog.llm import tokens
+
+        list(batches)
+        time.sleep(0.2)  # so that all workers take part
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(tokens._ENCODERS)])], names=["pid", "n"])
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
+    found = spark.range(0, 32, 1, 32).mapInArrow(held, "pid long, n long").collect()
+    assert len({r["pid"] for r in found}) > 1 and not any(r["n"] for r in found)

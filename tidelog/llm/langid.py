@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import remainder, rows
-from .tokens import release
+from .tokens import freeing, release
 
 BIGRAMS, TRIGRAMS, CLUSTERS, SAMPLE, SLACK, LOW, ITERATIONS = 2048, 6144, 4, 500, 2.5, 0.05, 12
 DIMS = BIGRAMS + TRIGRAMS
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: Model, named: tuple[str, str, str] = ("lang_
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     out = StructType(list(docs.schema.fields)).add(named[0], StringType()).add(named[1], DoubleType()).add(named[2], BooleanType())
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(freeing(run), out)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

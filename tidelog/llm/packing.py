@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace, doc_texts, rows
+from .tokens import freeing
 
 CAPACITY, END_ID, SALTS = 4096, 1, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
@@ -142,12 +143,16 @@ def _placer(runs: Iterable[tuple]):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece with its sequence and place; ``with_ids`` adds the ids themselves."""
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, lasting: bool = True) -> DataFrame:
+    """One row per piece with its sequence and place; ``with_ids`` adds the ids themselves.
+
+    ``lasting``: workers keep the tokenizer and what it learned between tasks; other
+    operators' stages leave more workers than run at once, and each would keep one."""
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     schema = PIECES + (", ids binary" if with_ids else "")
-    pieces = ws.stage(doc_texts(docs).mapInArrow(_pieces(path, capacity, end_id, with_ids), schema), "pieces")
+    encode = _pieces(path, capacity, end_id, with_ids)
+    pieces = ws.stage(doc_texts(docs).mapInArrow(encode if lasting else freeing(encode), schema), "pieces")
     # at most capacity x SALTS rows, whatever the corpus
     counts = pieces.groupBy("length", "salt").count().orderBy("length", "salt").collect()
     histogram: dict[int, int] = {}

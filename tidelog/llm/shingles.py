@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .components import ROUNDS, connected
 from .simhash import CHUNK, SEED, chunked, pairs_within, planes, small_pairs, whole_groups, within
 from .store import Workspace, free_name, rows
-from .tokens import release
+from .tokens import freeing, release
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -176,7 +176,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = texts.count()
     share = min(1.0, SAMPLE / max(1, n))
     sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    counted = sampled.mapInArrow(_runs, "run long").groupBy("run").count().where(F.col("count") >= COMMON)
+    counted = sampled.mapInArrow(freeing(_runs), "run long").groupBy("run").count().where(F.col("count") >= COMMON)
     found = counted.orderBy(F.desc("count"), "run").limit(MOST).collect()
     runs, times = np.array([r["run"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
     order = np.argsort(runs)
@@ -238,12 +238,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ws: Workspac
     wanted = ws.stage(classes.select("cls", "txt").join(met, "cls").select("txt"), f"wanted-{name}")
     size = 1 << min(27, max(10, (16 * wanted.count()).bit_length()))
     packed = np.zeros(size // 8, np.uint8)
-    for r in wanted.coalesce(4).mapInArrow(_bits(size), "bits binary").collect():  # four rows of at most 16 MB
+    for r in wanted.coalesce(4).mapInArrow(freeing(_bits(size)), "bits binary").collect():  # four rows of at most 16 MB
         packed |= np.frombuffer(r["bits"], np.uint8)
-    sets = ws.stage(texts.select("txt", "text").mapInArrow(_sets(packed), "cls long, runs binary").dropDuplicates(["cls"]), f"sets-{name}")
+    sets = ws.stage(texts.select("txt", "text").mapInArrow(freeing(_sets(packed)), "cls long, runs binary").dropDuplicates(["cls"]), f"sets-{name}")
     side = lambda key, runs: sets.select(F.col("cls").alias(key), F.col("runs").alias(runs))
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    edges = ws.stage(both.mapInArrow(_compared, "u long, v long"), f"edges-{name}")
+    edges = ws.stage(both.mapInArrow(freeing(_compared), "u long, v long"), f"edges-{name}")
     ws.drop(f"pairs-{name}", f"wanted-{name}", f"sets-{name}")
     return edges
 
@@ -268,7 +268,7 @@ def _tried(shared: DataFrame, classes: DataFrame, groups: DataFrame | None, trie
     fit = q * F.least("na", "nb") >= p * F.greatest("na", "nb")
     differ = [F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b")).alias(w) for w in MARKS]
     pairs = one.join(side("u", "a"), "u").join(side("v", "b"), "v").where(fit).select("u", "v", *differ)
-    return pairs.mapInArrow(_near, "u long, v long")
+    return pairs.mapInArrow(freeing(_near), "u long, v long")
 
 
 def links(texts: DataFrame, classes: DataFrame, ws: Workspace, rounds: int = ROUNDS_OF_HEADS) -> DataFrame:
@@ -294,7 +294,7 @@ def links(texts: DataFrame, classes: DataFrame, ws: Workspace, rounds: int = ROU
     apart = named.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run")
     rest = ws.stage(named.join(apart, "run").join(classes.select("cls", *MARKS), "cls"), "rest")
     keyed = chunked(rest, "run", "cls").select("key", "side", "cls", "root", "n", "at", *MARKS)
-    met = keyed.repartition("key").sortWithinPartitions("key", "side", "cls").mapInArrow(_met, "u long, v long").distinct()
+    met = keyed.repartition("key").sortWithinPartitions("key", "side", "cls").mapInArrow(freeing(_met), "u long, v long").distinct()
     edges = edges.union(_linked(met.join(tried, ["u", "v"], "left_anti"), texts, classes, ws, "rest"))
     ws.drop("shared", "rest", *(f"{x}{k}" for x in ("near", "tried") for k in range(rounds)))
     return edges
@@ -306,7 +306,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", body.alias("text"), F.xxhash64(body).alias("txt"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, txt long, cls long, n long, prefix array<long>, " + ", ".join(f"{w} long" for w in MARKS)
-    every = ws.stage(texts.mapInArrow(_classes(*_common(texts)), schema), "prefixes")
+    every = ws.stage(texts.mapInArrow(freeing(_classes(*_common(texts))), schema), "prefixes")
     classes = ws.stage(every.drop("doc_id").dropDuplicates(["cls"]), "classes")
     found = ws.stage(every.select("doc_id", "txt", "cls"), "members")
     ws.drop("prefixes")

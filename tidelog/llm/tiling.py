@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Workspace, free_name, rows
-from .tokens import release
+from .tokens import freeing, release
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.8, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {PAIRS}"
     found = None
     for items in blocks(benchmark, coverage):
-        part = docs.select("doc_id", "text").mapInArrow(_scan(items, ["doc_id"]), schema)
+        part = docs.select("doc_id", "text").mapInArrow(freeing(_scan(items, ["doc_id"])), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -257,5 +257,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             out = ws.stage(out, f"block-{k}")
         flag = free_name("leaked", docs.columns)
         schema = StructType([*docs.schema.fields]).add(flag, BooleanType())
-        out = out.mapInArrow(_scan(items, docs.columns, flag), schema).where(~F.col(flag)).select(*docs.columns)
+        out = out.mapInArrow(freeing(_scan(items, docs.columns, flag)), schema).where(~F.col(flag)).select(*docs.columns)
     return out

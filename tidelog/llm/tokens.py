@@ -148,11 +148,26 @@ def trim() -> None:
     """Returns freed memory to the system, where the C library can: a worker lives for many tasks."""
     import ctypes
 
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give:
         give(0)
 
 
+def freeing(run):
+    """A function of batches after which its worker holds nothing more: workers take turns, and idle ones stay."""
+
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return freed
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

@@ -41,3 +41,12 @@ def test_memory_stays_bounded():
         texts = [f"word{chr(97 + i)} other{chr(97 + i)} the and of in to {i}"]
         assert e.encode(texts) == whole(e, texts)
         assert len(e._known) <= 50
+
+
+def test_words_with_a_space_of_any_kind_are_learned_together():
+    e = Encoder(public_path("byte_bpe_50k.json"))
+    calls, library = [], e._whole
+    e._whole = lambda texts: calls.append(len(texts)) or library(texts)
+    texts = [f"x {i} --{'=' * (i % 7)} end" for i in range(500)]
+    assert e.encode(texts) == library(texts)
+    assert sum(calls) < 50  # not one call for each number

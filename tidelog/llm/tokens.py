@@ -31,6 +31,22 @@ _WORD_LEVEL = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{_LETTER}
 MEMO = 400_000
 
 
+class _Memo(dict):
+    """The ids of words, in two generations: ``old`` ones that come again are carried over. A word
+    without ids is noted in ``unseen`` and stands for itself."""
+
+    def __init__(self, old: dict | None = None):
+        self.old, self.unseen = old or {}, set()
+
+    def __missing__(self, word: str) -> bytes | str:
+        ids = self.old.get(word)
+        if ids is None:
+            self.unseen.add(word)
+            return word
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Whole-text encoding with one tokenizer file of the ``tokenizers`` library."""
 
@@ -53,8 +69,7 @@ class Encoder:
             self._measure[i] = name.endswith("</w>") if self._lower else len(name)
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self._added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        self._known: dict[str, bytes] = {}
-        self._again: set[str] = set()  # remembered words that a later group used
+        self._known = _Memo()
 
     @staticmethod
     def _splitter(spec: dict):
@@ -71,7 +86,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some pre-tokens of letters, by encoding runs of them joined."""
+        """The ids of each of some pre-tokens that fall apart when joined, by encoding runs of them."""
         runs = [words[i : i + 2000] for i in range(0, len(words), 2000)]
         out: list[bytes] = []
         for run, ids in zip(runs, self._whole([(" " if self._lower else "").join(run) for run in runs])):
@@ -90,8 +105,10 @@ class Encoder:
         return out
 
     def _learn(self, unseen: set[str]) -> None:
-        lead = "" if self._lower else " "
-        joined = [w for w in unseen if w[len(lead) :].isalpha() and w.startswith(lead)]
+        if self._lower:
+            joined = [w for w in unseen if w.isalpha()]
+        else:  # a pre-token that begins with its space ends where the next one's space stands
+            joined = [w for w in unseen if w[0] == " " and w[1:] and not w[1:2].isspace()]
         alone = list(unseen.difference(joined))
         self._known.update(zip(joined, self._words(joined)))
         self._known.update(zip(alone, self._whole(alone)))
@@ -99,30 +116,28 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        parts: list[list[str] | None] = [None] * len(texts)
-        whole, words = [], set()
+        parts: list[list[bytes | str] | None] = [None] * len(texts)
+        whole = []
+        if 2 * len(self._known) > self.memo:  # what does not come again from here on is forgotten
+            self._known = _Memo(dict(self._known))
+        known = self._known
+        ids = known.__getitem__
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
             elif self._split is None or _OTHER.search(text) or (self._added and self._added.search(text)):
                 whole.append(i)
             else:
-                parts[i] = found = self._split(text.lower() if self._lower else text)
-                words.update(found)
-        known = self._known
-        unseen = words.difference(known)
-        if len(known) * 2 > self.memo:
-            self._again |= words - unseen
-        if len(known) + len(unseen) > self.memo:  # forget the words that came once
-            kept = self._again if len(self._again) + len(unseen) < self.memo * 3 // 4 else set()
-            self._known = known = {w: known[w] for w in kept}
-            self._again = set()
-            unseen = words.difference(known)
+                found = list(map(ids, self._split(text.lower() if self._lower else text)))
+                if not known.unseen:
+                    out[i] = b"".join(found)
+                else:
+                    parts[i] = found
+        unseen, known.unseen = known.unseen, set()
         self._learn(unseen)
-        ids = known.__getitem__
         for i, found in enumerate(parts):
             if found is not None:
-                out[i] = b"".join(map(ids, found))
+                out[i] = b"".join([x if type(x) is bytes else known[x] for x in found])
         for i in whole:
             out[i] = self._whole([texts[i]])[0]
         return out  # type: ignore[return-value]

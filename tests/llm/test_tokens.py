@@ -1,5 +1,7 @@
 """Encoding by remembered pre-tokens equals whole-text encoding by the library."""
 
+import tracemalloc
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,3 +52,25 @@ def test_words_with_a_space_of_any_kind_are_learned_together():
     texts = [f"x {i} --{'=' * (i % 7)} end" for i in range(500)]
     assert e.encode(texts) == library(texts)
     assert sum(calls) < 50  # not one call for each number
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_known_pretokens_are_looked_up_without_an_object_for_each(name):
+    e = Encoder(public_path(name))
+    text = "the cat's 12 -- of a house\n" * 200_000
+    e.encode([text])
+    tracemalloc.start()
+    got = e.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text) + len(got[0])
+    assert got == whole(e, [text])
+
+
+def test_pretokens_of_any_length_and_forgotten_words():
+    for name in NAMES:
+        e = Encoder(public_path(name), memo=40)
+        for n in range(1, 40):
+            texts = [f"{'x' * n} {'=' * n}{' ' * n}'{'s' * n} {'é' * n}\n{'ab ' * n}", "'" * n, " " * n, "\n" * n + "a"]
+            assert e.encode(texts) == whole(e, texts)
+            assert len(e._known) <= 40

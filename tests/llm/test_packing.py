@@ -1,9 +1,11 @@
 """Runs of bins equal item-by-item best fit; pieces fill sequences without gaps."""
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +13,7 @@ from llm.odd import documents, empty
 
 from tidelog.llm import packing
 from tidelog.llm.queries import op10_best_fit_packing
-from tidelog.llm.tokens import public_path
+from tidelog.llm.tokens import encoder, public_path
 
 PATH = public_path("word_bpe_49k.json")
 
@@ -94,3 +96,16 @@ def test_odd_documents(spark):
 def test_ids_come_along(spark):
     out = packing.pack(documents(spark), PATH, 64, with_ids=True).collect()
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in out)
+
+
+def test_pieces_of_a_long_text_need_no_object_for_each_pretoken():
+    text = "the cat's 12 -- of a house\n" * 200_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    run = packing._pieces(PATH, 4096, 1, False)
+    first = list(run([batch]))
+    tracemalloc.start()
+    again = list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text)
+    assert first == again and sum(again[0].column("length").to_pylist()) == len(encoder(PATH)._whole([text])[0]) // 4 + 1

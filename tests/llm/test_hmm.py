@@ -147,3 +147,16 @@ def test_rounds_go_on_until_the_likelihood_settles(spark, monkeypatch):
     texts = [symbols.encode(t)[0].astype(np.int64) for t in rows]
     before, after = (models[k].counts(texts)[3] / sum(map(len, texts)) for k in (-2, -1))
     assert abs(after - before) < hmm.SETTLED
+
+
+def test_long_texts_run_side_by_side_once(monkeypatch):
+    monkeypatch.setattr(hmm, "LONG", 20)
+    monkeypatch.setattr(hmm, "PIECE", 7)
+    done, run = [], hmm.Hmm._run
+    monkeypatch.setattr(hmm.Hmm, "_run", lambda self, texts, alpha: done.extend(map(len, texts)) or run(self, texts, alpha))
+    model, r = random_model(5, 7), np.random.default_rng(6)
+    model.emit[3] = 1e-30  # a text of it is unlikely in every state
+    texts = [*(r.integers(0, 7, n) for n in r.integers(150, 200, 60)), np.full(90, 3), r.integers(0, 7, 900)]
+    got = model.log_likelihood(texts)
+    assert np.allclose(got, [plain(model, t) for t in texts], rtol=1e-9)
+    assert sum(done) < 2 * sum(map(len, texts))  # cut, every text would be run from each of five states

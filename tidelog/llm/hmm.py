@@ -12,9 +12,9 @@ Training is Baum-Welch: expected counts of every training document (in stretches
 than ``SETTLED`` a token (``ROUNDS`` at most). The start is learned from every training
 document too: each stretch is the sum of its symbols' random vectors, each symbol the
 mean of the stretches it stands in, and the symbols are clustered into the states.
-Scoring is the scaled forward recursion over whole texts, many texts side by side; a
-long text is cut, each piece is run from every state, and the pieces are multiplied,
-which is exact.
+Scoring is the scaled forward recursion over whole texts, many texts side by side; what
+few long texts have beyond all others is cut, each piece is run from every state, and the
+pieces are multiplied, which is exact.
 
 Defined results: null and empty texts are the end alone; with no training documents
 every word is unknown; repeated and null ids keep a row each (a null id counts as the
@@ -39,8 +39,9 @@ from .store import Workspace, remainder, rows
 STATES, FREQUENT, ENDINGS, STRETCH, ROUNDS = 8, 16_384, 256, 64, 30
 SETTLED = 0.005  # natural log likelihood a token
 AXES, STEADY, OWN = 16, 20, 0.8  # of the start: axes of a context, occurrences that count as none, share of a symbol in its own state
-#: Texts longer than LONG tokens are cut into pieces of PIECE tokens.
-LONG, PIECE = 2048, 512
+#: What FEW texts at most of a group have beyond LONG tokens is cut into pieces of PIECE tokens.
+LONG, PIECE, FEW = 2048, 512, 24
+SCALED = 8  # steps of the forward recursion between two scalings
 PRIOR = 200.0  # words of smoothing that a state takes from all words
 END = b" "  # no word holds a space
 FLUSH = 250_000
@@ -127,39 +128,47 @@ class Hmm:
         """Expected start, move and emission counts, and the log likelihood of the stretches."""
         k = len(self.start)
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit, np.float64), 0.0
-        cut = [t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)]
-        for at in range(0, len(cut), 4096):
-            lanes = sorted(cut[at : at + 4096], key=len, reverse=True)
-            n = np.array([len(x) for x in lanes])
-            obs = np.zeros((n[0], len(lanes)), np.int64)
-            for i, x in enumerate(lanes):
-                obs[: len(x), i] = x
-            active = [int((n > t).sum()) for t in range(n[0])]
-            e = [self.emit[obs[t, :m]] for t, m in enumerate(active)]
+        if not texts:
+            return start, move, emit, total
+        # one row for each state, so that sums over states are sums of rows
+        emits, onward = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
+        every, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        pieces = -(-sizes // STRETCH)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begins = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * STRETCH
+        lengths = np.minimum(np.repeat(sizes, pieces) - nth * STRETCH, STRETCH)
+        for at in range(0, len(begins), 4096):
+            n = lengths[at : at + 4096]
+            order = np.argsort(-n, kind="stable")
+            n, begin = n[order], begins[at : at + 4096][order]
+            active = np.searchsorted(-n, -np.arange(n[0]), "left").tolist()
+            obs = [every[begin[:m] + t] for t, m in enumerate(active)]
+            e = [emits.take(o, axis=1) for o in obs]
             forward, scale = [], []
             for t, m in enumerate(active):
-                a = e[t] * (self.start if t == 0 else forward[-1][:m] @ self.move)
-                c = a.sum(1, keepdims=True)
-                forward.append(a / c)
+                a = e[t] * (self.start[:, None] if t == 0 else onward @ forward[-1][:, :m])
+                c = a.sum(0)
+                a /= c
+                forward.append(a)
                 scale.append(c)
-                total += float(np.log(c).sum())
-            weights = []
-            back = np.ones((active[-1], k), np.float32)
+                total += float(np.log(c).sum(dtype=np.float64))
+            back = np.ones((k, active[-1]), np.float32)
             for t in range(len(active) - 1, -1, -1):
                 m = active[t]
                 if t + 1 < len(active):
-                    nxt = np.ones((m, k), np.float32)
-                    ahead = e[t + 1] * back / scale[t + 1]
+                    nxt = np.ones((k, m), np.float32)
+                    e[t + 1] *= back
+                    e[t + 1] /= scale[t + 1]
                     p = active[t + 1]
-                    move += forward[t][:p].T.astype(np.float64) @ ahead
-                    nxt[:p] = ahead @ self.move.T
+                    move += forward[t][:, :p] @ e[t + 1].T
+                    nxt[:, :p] = self.move @ e[t + 1]
                     back = nxt
-                weights.append(forward[t] * back)
-            start += weights[-1].sum(0)
-            seen = np.concatenate([obs[t, :m] for t, m in reversed(list(enumerate(active)))])
-            w = np.concatenate(weights)
+                e[t + 1 :] = []
+                forward[t] *= back
+            start += forward[0].sum(1)
+            seen = np.concatenate(obs)
             for j in range(k):
-                emit[:, j] += np.bincount(seen, w[:, j], len(emit))
+                emit[:, j] += np.bincount(seen, np.concatenate([w[j] for w in forward]), len(emit))
         return start, move * self.move, emit, total
 
     def estimated(self, start, move, emit, shares: np.ndarray) -> Hmm:
@@ -178,34 +187,40 @@ class Hmm:
         ``alpha``: distributions before the first token; None: the start distribution."""
         n = np.array([len(x) for x in texts])
         order = np.argsort(-n, kind="stable")
-        obs = np.zeros((n[order[0]], len(texts)), np.int64)
-        for i, j in enumerate(order):
-            obs[: n[j], i] = texts[j]
+        active = np.searchsorted(-n[order], -np.arange(n[order[0]]), "left")
+        at = np.cumsum(active) - active
+        obs = np.zeros(int(n.sum()), np.int64)  # by token, then by text; only those that have the token
+        for i, j in enumerate(order.tolist()):
+            obs[at[: n[j]] + i] = texts[j]
         # double precision: the likelihood of long texts is the sum of many logs
-        emit, move = self.emit, self.move.astype(np.float64)
+        emit, move = self.emit.astype(np.float64), self.move.astype(np.float64)
         state = np.tile(self.start.astype(np.float64), (len(texts), 1)) if alpha is None else alpha[order].astype(np.float64)
         log = np.zeros(len(texts))
-        for t, m in enumerate(np.searchsorted(-n[order], -np.arange(len(obs)), "left").tolist()):
-            a = state[:m] if t == 0 and alpha is None else state[:m] @ move
-            a = a * emit[obs[t, :m]]
-            c = a.sum(1)
-            state[:m] = a / c[:, None]
+
+        def scale(m: int) -> None:
+            c = state[:m] @ np.ones(len(move))
+            state[:m] /= c[:, None]
             log[:m] += np.log(c)
+
+        for t, (a, m) in enumerate(zip(at.tolist(), active.tolist())):
+            e = emit[obs[a : a + m]]
+            np.multiply(state[:m] if t == 0 and alpha is None else state[:m] @ move, e, out=state[:m])
+            if t % SCALED == SCALED - 1:
+                scale(m)
+        scale(len(texts))
         back = np.argsort(order)
         return state[back], log[back]
 
     def log_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each whole symbol sequence (none is empty)."""
-        out = np.zeros(len(texts))
-        short = [i for i, t in enumerate(texts) if len(t) <= LONG]
-        if short:
-            out[short] = self._run([texts[i] for i in short], None)[1]
+        # as far as some texts run side by side; only where a few are left, what follows is cut
+        sizes = sorted(map(len, texts), reverse=True)
+        side = max(LONG, sizes[FEW] if len(sizes) > FEW else 0)
+        states, out = self._run([t[:side] for t in texts], None)
         k = len(self.start)
-        for i in (i for i, t in enumerate(texts) if len(t) > LONG):
-            t = texts[i]
-            state, log = self._run([t[:PIECE]], None)
-            state, log = state[0], float(log[0])
-            for at in range(PIECE, len(t), 64 * PIECE):
+        for i in (i for i, t in enumerate(texts) if len(t) > side):
+            t, state, log = texts[i], states[i], float(out[i])
+            for at in range(side, len(t), 64 * PIECE):
                 pieces = [t[j : j + PIECE] for j in range(at, min(len(t), at + 64 * PIECE), PIECE)]
                 ends, scales = self._run([p for p in pieces for _ in range(k)], np.tile(np.eye(k), (len(pieces), 1)))
                 for p in range(len(pieces)):
@@ -313,7 +328,7 @@ def _scored(model: Hmm, logs: np.ndarray, classes: np.ndarray, known: int):
         import pyarrow as pa
 
         for big in batches:
-            for b in rows([big], 1024, 8_000_000, "symbols"):
+            for b in rows([big], 8192, 8_000_000, "symbols"):
                 texts = _arrays(b.column("symbols"))
                 score = model.log_likelihood(texts) / np.log(10)
                 every = np.concatenate(texts)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.odd import TEXTS
 
+from tidelog.llm import tokens
 from tidelog.llm.tokens import Encoder, public_path
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -74,3 +75,16 @@ def test_pretokens_of_any_length_and_forgotten_words():
             texts = [f"{'x' * n} {'=' * n}{' ' * n}'{'s' * n} {'é' * n}\n{'ab ' * n}", "'" * n, " " * n, "\n" * n + "a"]
             assert e.encode(texts) == whole(e, texts)
             assert len(e._known) <= 40
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab1'sre_-.\n\t\r  é"), max_size=200))
+def test_long_texts_are_cut_between_pretokens(name, text):
+    e, group = ENCODERS[name], tokens.GROUP
+    tokens.GROUP = 9
+    try:
+        got = e.encode([text, "1 2 'd 3", text])
+    finally:
+        tokens.GROUP = group
+    assert got == whole(e, [text, "1 2 'd 3", text])

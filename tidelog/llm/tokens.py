@@ -43,7 +43,7 @@ def _starts(before: int, this: int, after: int, lower: bool) -> bool:
 _BYTE_LEVEL, _WORD_LEVEL = (bytes(n < 216 and _starts(n // 36, n // 6 % 6, n % 6, lower) for n in range(256)) for lower in (False, True))
 #: Bytes of text worked on at once.
 GROUP = 1 << 20
-_JOINT = re.compile("[A-Za-z] (?=[A-Za-z])")
+_JOINT = re.compile("[^ \\t\\n\\r][ \\t\\n\\r](?=[^ \\t\\n\\r])")
 
 #: Pre-tokens remembered by a worker for a tokenizer, at most.
 MEMO = 400_000
@@ -281,7 +281,7 @@ class Encoder:
                 out[i] = self._whole([text])
                 continue
             at = 0
-            while at < len(text):  # a longer text is cut between two words
+            while at < len(text):  # a longer text is cut before a single space or break
                 joint = _JOINT.search(text, at + GROUP) if len(text) - at > GROUP else None
                 end = joint.start() + 1 if joint else len(text)
                 group.append((i, text[at:end]))
